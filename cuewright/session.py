@@ -17,6 +17,7 @@ def local_session(cpus: str = "8", app: str = "cuewright", **conf: str) -> Spark
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
     )
     for name, value in conf.items():
