@@ -1,151 +1,157 @@
 """Greedy left-to-right grouping of an ordered relation, exact and parallel inside one entity.
 
 A greedy rule ("start a block, extend it while it fits, start the next one") is sequential, but
-where a block starts decides where the next one starts. So each row can state, without knowing
-the true blocks, the position ``nxt`` at which the following block would start if a block
-started here. The real starts are then the chain 0 -> nxt -> nxt ... of each entity:
+the place and manner of a start decide the next start. So every possible start is a *node* with
+a rising id, and states, without knowing the true blocks, the node that would follow it. The real
+starts are the chain root -> next -> next ... of each entity:
 
-1. inside chunks of ``CHUNK`` positions, every row finds where its chain leaves the chunk;
-2. only landing rows (few per chunk, because chains coalesce) are linked across chunks;
+1. inside chunks of ``CHUNK`` ids, every node finds where its chain leaves the chunk;
+2. only landing nodes (few per chunk, because chains coalesce) are linked across chunks;
 3. each chunk replays its part from its now known entry.
 
-No task holds more than one chunk of rows, or the landing rows of one entity.
+No task holds more than one chunk of nodes, or the landing nodes of one entity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.operators.slices import Layout, running
+from cuewright.operators.slices import SLICE_SECONDS, Layout, running
 from cuewright.session import cut_lineage
 
 CHUNK = 1 << 16
+NEVER = 1 << 62
 
 
-def _exits(pos: np.ndarray, nxt: np.ndarray, stop: int) -> np.ndarray:
-    """First chain position at or past ``stop`` for each row of one chunk (rows sorted)."""
-    first = int(pos[0])
-    out = nxt.copy()
-    for i in range(len(pos) - 1, -1, -1):
-        if out[i] < stop:
-            out[i] = out[int(out[i]) - first]
-    return out
+def leave_chunk(ids: np.ndarray, nxt: np.ndarray, stop: int) -> np.ndarray:
+    """First chain id at or past ``stop`` for each node of one chunk (ids sorted)."""
+    hop = np.arange(len(ids))
+    inside = nxt < stop
+    hop[inside] = np.searchsorted(ids, nxt[inside])
+    while True:
+        further = hop[hop]
+        if np.array_equal(further, hop):
+            return nxt[hop]
+        hop = further
 
 
-def _key_fields(df: DataFrame, key: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[k] for k in key]
+def _fields(df: DataFrame, key: Sequence[str], *names: str) -> T.StructType:
+    return T.StructType([*[df.schema[k] for k in key], *[T.StructField(n, T.LongType()) for n in names]])
 
 
-def chain_starts(links: DataFrame, key: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Rows ``(key, pos)`` on the chain from position 0, given ``links(key, pos, nxt)`` with
-    dense positions and ``nxt > pos`` (a value past the last position ends the chain)."""
+def chain(nodes: DataFrame, key: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """Nodes ``(key, id)`` on the chain from the smallest id of each entity, given
+    ``nodes(key, id, nxt)`` with ``nxt > id``; an id past the last one ends the chain."""
     key = list(key)
-    fields = _key_fields(links, key)
     sliced = cut_lineage(
-        links.select(*key, F.col("pos").cast("bigint"), F.col("nxt").cast("bigint")).withColumn(
-            "_chunk", F.floor(F.col("pos") / chunk)
+        nodes.select(
+            *key, F.col("id").cast("bigint"), F.col("nxt").cast("bigint"), F.floor(F.col("id") / chunk).alias("_chunk")
         )
     )
-    exit_schema = T.StructType([*fields, T.StructField("pos", T.LongType()), T.StructField("out", T.LongType())])
+    ends = sliced.groupBy(*key).agg(F.min("id").alias("_root"), F.min("_chunk").alias("_c0"), F.max("_chunk").alias("_c1"))
 
     def leave(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("pos")
-        pos = g["pos"].to_numpy()
-        stop = (int(pos[0]) // chunk + 1) * chunk
-        return g[key].assign(pos=pos, out=_exits(pos, g["nxt"].to_numpy(), stop))
-
-    last = sliced.groupBy(*key).agg(F.max("pos").alias("_last"))
-    spanning = last.filter(F.col("_last") >= chunk).select(*key)
-    exits = sliced.join(spanning, key, "left_semi").groupBy(*key, "_chunk").applyInPandas(leave, exit_schema)
+        g = group.sort_values("id")
+        ids = g["id"].to_numpy()
+        return g[key].assign(id=ids, out=leave_chunk(ids, g["nxt"].to_numpy(), (int(g["_chunk"].iloc[0]) + 1) * chunk))
+
+    spanning = ends.filter("_c1 > _c0")
+    exits = (
+        sliced.join(spanning.select(*key), key, "left_semi")
+        .groupBy(*key, "_chunk")
+        .applyInPandas(leave, _fields(nodes, key, "id", "out"))
+    )
     exits = cut_lineage(exits)
-    landings = exits.select(*key, F.col("out").alias("pos")).distinct()
-    roots = spanning.select(*key, F.lit(0).cast("bigint").alias("pos"))
-    hops = exits.join(landings.unionByName(roots).distinct(), [*key, "pos"], "left_semi")
-
-    entry_schema = T.StructType([*fields, T.StructField("_entry", T.LongType())])
+    roots = spanning.select(*key, F.col("_root").alias("id"))
+    landings = exits.select(*key, F.col("out").alias("id")).unionByName(roots).distinct()
+    hops = exits.join(landings, [*key, "id"], "left_semi")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        step = dict(zip(group["pos"], group["out"], strict=True))
-        at, seen = 0, []
+        step = dict(zip(group["id"], group["out"], strict=True))
+        at, seen = int(group["id"].min()), []
         while at in step:
             seen.append(at)
             at = int(step[at])
         return pd.DataFrame({**{k: group[k].iloc[0] for k in key}, "_entry": seen})
 
-    entries = hops.groupBy(*key).applyInPandas(walk, entry_schema)
-    short = last.filter(F.col("_last") < chunk).select(*key, F.lit(0).cast("bigint").alias("_entry"))
-    entries = entries.unionByName(short).withColumn("_chunk", F.floor(F.col("_entry") / chunk))
-    marked = sliced.join(entries, [*key, "_chunk"])
-    start_schema = T.StructType([*fields, T.StructField("pos", T.LongType())])
+    entries = hops.groupBy(*key).applyInPandas(walk, _fields(nodes, key, "_entry"))
+    entries = entries.unionByName(ends.filter("_c1 = _c0").select(*key, F.col("_root").alias("_entry")))
+    entered = sliced.join(entries.withColumn("_chunk", F.floor(F.col("_entry") / chunk)), [*key, "_chunk"])
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("pos")
-        pos, nxt = g["pos"].to_numpy(), g["nxt"].to_numpy()
-        first, at, found = int(pos[0]), int(g["_entry"].iloc[0]), []
-        while at - first < len(pos):
-            found.append(at)
-            at = int(nxt[at - first])
-        return pd.DataFrame({**{k: g[k].iloc[0] for k in key}, "pos": found})
-
-    return marked.groupBy(*key, "_chunk").applyInPandas(replay, start_schema)
-
-
-def blocks(
-    df: DataFrame, key: Sequence[str], nxt: str = "nxt", name: str = "block", chunk: int = CHUNK
+        g = group.sort_values("id")
+        ids, nxt = g["id"].to_numpy(), g["nxt"].to_numpy()
+        hop = np.searchsorted(ids, nxt)
+        at, found = int(np.searchsorted(ids, g["_entry"].iloc[0])), []
+        while at < len(ids):
+            found.append(int(ids[at]))
+            at = int(hop[at])
+        return pd.DataFrame({**{k: g[k].iloc[0] for k in key}, "id": found})
+
+    return entered.groupBy(*key, "_chunk").applyInPandas(replay, _fields(nodes, key, "id"))
+
+
+def blocks(df: DataFrame, starts: DataFrame, key: Sequence[str], name: str = "block", chunk: int = CHUNK) -> DataFrame:
+    """Number the blocks of ``df(key, pos)`` that begin at the rows of ``starts(key, pos)``, from 0."""
+    flagged = df.join(starts.select(*key, "pos").withColumn("_start", F.lit(1)), [*key, "pos"], "left")
+    counted = running(flagged, Layout(tuple(key), ("pos",), chunk), {name: ("count", "_start")})
+    return counted.withColumn(name, F.col(name) - 1).drop("_start")
+
+
+def by_rule(
+    df: DataFrame,
+    key: Sequence[str],
+    columns: Sequence[str],
+    rule: Callable[[list[list], int, int, bool], list[tuple[int, int]]],
+    reach: int,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Number the greedy blocks of ``df`` (dense ``pos`` per key) in the column ``name``."""
-    starts = chain_starts(df.select(*key, "pos", F.col(nxt).alias("nxt")), key, chunk)
-    flagged = df.join(starts.withColumn("_start", F.lit(1)), [*key, "pos"], "left")
-    layout = Layout(tuple(key), ("pos",), chunk)
-    return running(flagged, layout, {name: ("count", "_start")}).drop("_start")
-
+    """Nodes ``(key, id, nxt)`` from a Python rule over ``df(key, pos, columns)``.
 
-def next_by_rule(
-    df: DataFrame, key: Sequence[str], columns: Sequence[str], rule, reach: int, chunk: int = CHUNK
-) -> DataFrame:
-    """Add ``nxt`` from ``rule(columns as arrays, i, n) -> length`` where a block can never hold
-    more than ``reach`` rows. Chunks read ``reach`` rows past their end, so every block that
-    starts in a chunk is seen whole."""
+    ``rule(data, i, first, n)`` returns (id, next id) pairs for row ``i``; ``first`` is the
+    position of row 0 of ``data``. A block never holds more than ``reach`` rows, and chunks are
+    read with that many rows on both sides, so each rule call sees all it needs.
+    """
     key = list(key)
-    own = F.floor(F.col("pos") / chunk)
+    at = F.col("pos")
+    low = F.floor(F.greatest(at - reach, F.lit(0)) / chunk)
     spread = df.select(*key, "pos", *columns).withColumn(
-        "_chunk",
-        F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - reach, F.lit(0)) / chunk), own)),
-    )
-    schema = T.StructType(
-        [*_key_fields(df, key), T.StructField("pos", T.LongType()), T.StructField("nxt", T.LongType())]
+        "_chunk", F.explode(F.sequence(low, F.floor((at + reach) / chunk)))
     )
 
     def step(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("pos")
         data = [g[c].tolist() for c in columns]
-        pos = g["pos"].to_numpy()
-        mine = int((pos // chunk == g["_chunk"].iloc[0]).sum())
-        n = len(pos)
-        nxt = [int(pos[i]) + rule(data, i, n) for i in range(mine)]
-        return g[key].iloc[:mine].assign(pos=pos[:mine], nxt=nxt)
+        pos, mine = g["pos"].to_numpy(), int(g["_chunk"].iloc[0])
+        pairs = [p for i in np.flatnonzero(pos // chunk == mine) for p in rule(data, int(i), int(pos[0]), len(pos))]
+        ids, nxt = zip(*pairs, strict=True) if pairs else ((), ())
+        head = {k: g[k].iloc[0] for k in key}
+        return pd.DataFrame({**{k: [v] * len(ids) for k, v in head.items()}, "id": ids, "nxt": nxt})
 
-    return spread.groupBy(*key, "_chunk").applyInPandas(step, schema)
+    return spread.groupBy(*key, "_chunk").applyInPandas(step, _fields(df, key, "id", "nxt"))
 
 
-def next_at_or_after(
-    df: DataFrame, key: Sequence[str], order: str, target, width: float, tie: Sequence[str] = ()
+def following(
+    df: DataFrame, key: Sequence[str], order: str, target: Column, strict: bool = False, hits: Column | None = None,
+    width: float = SLICE_SECONDS,
 ) -> DataFrame:
-    """Add ``nxt``: the first position whose ``order`` value is at or past ``target`` of this row
-    (a row count past the end when there is none). ``order`` must not fall along ``pos``."""
-    rows = df.select(*key, F.col("pos"), F.col(order).cast("double").alias("_at"), target.cast("double").alias("_to"))
-    asks = rows.select(*key, F.col("_to").alias("_at"), F.lit(0).alias("_kind"), F.col("pos").alias("_ask"), F.lit(None).cast("bigint").alias("_hit"))
-    hits = rows.select(*key, "_at", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_ask"), F.col("pos").cast("bigint").alias("_hit"))
+    """Nodes ``(key, id, nxt)`` where ``nxt`` is the first position with ``order`` at (or strictly
+    past) ``target`` of this row; only rows passing ``hits`` count. ``order`` rises along ``pos``."""
+    rows = df.select(
+        *key, F.col("pos").cast("bigint").alias("pos"), F.col(order).cast("double").alias("_at"),
+        target.cast("double").alias("_to"), (F.lit(True) if hits is None else hits).alias("_ok"),
+    )
+    none = F.lit(None).cast("bigint")
+    asks = rows.select(*key, F.col("_to").alias("_at"), F.lit(1 if strict else 0).alias("_kind"), F.col("pos").alias("_ask"), none.alias("_hit"))
+    marks = rows.filter("_ok").select(*key, "_at", F.lit(0 if strict else 1).alias("_kind"), none.alias("_ask"), F.col("pos").alias("_hit"))
     layout = Layout(tuple(key), ("_at", "_kind", "_hit", "_ask"), width)
-    found = running(asks.unionByName(hits), layout, {"nxt": ("first_after", "_hit")})
-    end = F.lit((1 << 62))
-    return found.filter(F.col("_ask").isNotNull()).select(
-        *key, F.col("_ask").alias("pos"),
-        F.greatest(F.coalesce("nxt", end), F.col("_ask") + 1).alias("nxt"),
+    found = running(asks.unionByName(marks), layout, {"nxt": ("first_after", "_hit")})
+    return found.filter("_ask is not null").select(
+        *key, F.col("_ask").alias("id"), F.greatest(F.coalesce("nxt", F.lit(NEVER)), F.col("_ask") + 1).alias("nxt")
     )

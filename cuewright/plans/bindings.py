@@ -189,6 +189,21 @@ def turn(spark, d) -> DataFrame:
     )
 
 
+def turn_word(spark, d) -> DataFrame:
+    """Words of each conversation turn, one clip per turn."""
+    turns = table(spark, d, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("clip_id"),
+        F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "").alias("w"),
+    )
+    return turns.select("clip_id", F.posexplode("w").alias("seq", "word")).select(
+        "clip_id",
+        F.col("seq").cast("bigint").alias("seq"),
+        "word",
+        F.round(F.col("seq") * 0.4, 3).alias("s"),
+        F.round(F.col("seq") * 0.4 + F.length("word") * 0.05, 3).alias("e"),
+    )
+
+
 def unit_vectors(windows: DataFrame) -> DataFrame:
     """Speaker windows with vectors of length one."""
     n = norm2("embedding")
@@ -206,6 +221,13 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from (select doc_id as media_id, unnest(w) as word, generate_subscripts(w,1)-1 as seq
               from (select doc_id, string_split_regex(text,'[ \n\t\r]+') as w from documents))
         where word <> '')"""),
+    "turn_word": ((), """
+      turn_word as (select clip_id, seq, word, round(seq*0.4::double,3) as s,
+          round(seq*0.4::double + 0.05::double*length(word),3) as e, length(word) as len,
+          sum(length(word)) over (partition by clip_id order by seq) as cum, count(*) over (partition by clip_id) as n
+        from (select clip_id, unnest(w) as word, generate_subscripts(w,1)-1 as seq from
+          (select conv_id||'-'||turn as clip_id, list_filter(string_split_regex(text,'[ \n\t\r]+'), lambda x: x<>'') as w
+           from conversations)))"""),
     "keep": ((), """
       keep as (select doc_id as media_id, k*12.0::double+doc_id%3 as s, k*12.0::double+doc_id%3+8 as e
         from documents, (select unnest(range(5)) as k))"""),
