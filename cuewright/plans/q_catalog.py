@@ -32,8 +32,7 @@ def ag10(spark, d):
 def src11(spark, d):
     name = F.when(F.col("doc_id") % 34 == 0, ".DS_Store").when(F.col("doc_id") % 17 == 0, "._x").otherwise("a.txt")
     listed = table(spark, d, "documents").select("source", name.alias("name"), "n_chars")
-    kept = listed.filter(~F.col("name").isin(*K.SKIPPED_FILES) & ~F.col("name").startswith("._"))
-    return kept.groupBy(F.col("source").alias("root")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
+    return files.visible(listed, "name").groupBy(F.col("source").alias("root")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
 
 
 def assets(spark, d):

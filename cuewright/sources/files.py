@@ -13,11 +13,16 @@ from cuewright.functions.signal import to_db
 HEAD_BYTES = 4 << 20
 
 
+def visible(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files without system litter."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return files.filter(~name.isin(*K.SKIPPED_FILES) & ~name.startswith("._"))
+
+
 def scan_files(spark: SparkSession, roots: Sequence[str], hashes: bool = False) -> DataFrame:
     """Recursive inventory without system litter. File bytes are read only for ``hashes``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    seen = raw.filter(~name.isin(*K.SKIPPED_FILES) & ~name.startswith("._"))
+    seen = visible(raw)
     columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
     if hashes:
         columns += [F.sha2("content", 256).alias("hash"), quick_hash("content", "length").alias("qhash")]
