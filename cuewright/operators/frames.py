@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.signal import dot, norm2
 from cuewright.functions.time import quantise
-from cuewright.operators.greedy import blocks, by_rule, chain, following
+from cuewright.operators.greedy import NEVER, blocks, by_rule, chain, following
 from cuewright.operators.intervals import asof, interval_join, point_in
 from cuewright.operators.levels import FRAMES, runs, runs_hysteresis
 from cuewright.operators.quantiles import quantiles
@@ -25,6 +25,7 @@ from cuewright.operators.slices import (
     top_rows,
     with_halo,
 )
+from cuewright.session import cut_lineage
 
 PACK = 128
 
@@ -650,24 +651,31 @@ def speech_blocks(silence: DataFrame, lengths: DataFrame, pauses: DataFrame, max
     last = silence.groupBy("media_id").agg(F.max(F.col("e") - pad).alias("_r"))
     tail = lengths.join(last, "media_id", "left").select("media_id", F.greatest(F.lit(0.0), F.coalesce("_r", F.lit(0.0))).alias("s"), F.col("duration").alias("e"))
     regions = inner.unionByName(tail).filter("e > s")
-    done = regions.filter(F.col("e") - F.col("s") <= max_s).select("media_id", "s", "e")
-    # Longer regions: one pause-or-limit step per round for all of them at once.
-    from cuewright.session import cut_lineage
-
-    open_ = cut_lineage(regions.filter(F.col("e") - F.col("s") > max_s).select("media_id", "s", "e"))
-    marks = pauses.select("media_id", ((F.col("s") + F.col("e")) / 2).alias("c"))
-    closed = [done]
-    while not open_.isEmpty():
-        step = asof(open_, marks, F.col("s") + max_s, "c", ["c"], name="_p")
-        cut = F.when(F.col("_p.c") > F.col("s") + max_s * 0.8, F.col("_p.c")).otherwise(F.col("s") + max_s)
-        step = cut_lineage(step.withColumn("_cut", cut))
-        closed.append(step.select("media_id", "s", F.col("_cut").alias("e")))
-        rest = step.select("media_id", F.col("_cut").alias("s"), "e")
-        closed.append(rest.filter(F.col("e") - F.col("s") <= max_s))
-        open_ = cut_lineage(rest.filter(F.col("e") - F.col("s") > max_s))
-    out = closed[0]
-    for part in closed[1:]:
-        out = out.unionByName(part)
+    # Every region start and every pause inside a region is a possible cut; each names the cut
+    # that would follow it. Where no pause qualifies a cut at the limit is added as a new node,
+    # so the rounds below number as many as the longest pause-free stretch has limits.
+    spans = regions.withColumn("r0", F.col("s")).withColumn("r1", F.col("e"))
+    marks = pauses.select("media_id", F.round((F.col("s") + F.col("e")) / 2, 6).alias("c"))
+    inside = point_in(marks, "c", spans, how="inner", bin_s=max_s).filter(F.col("c") > F.col("b_s"))
+    key = ["media_id", "r0", "r1"]
+    cuts = inside.select("media_id", F.col("b_r0").alias("r0"), F.col("b_r1").alias("r1"), F.col("c").alias("x"))
+    fresh = spans.select(*key, F.col("s").alias("x")).unionByName(cuts).distinct()
+    links = []
+    while True:
+        open_ = fresh.filter(F.col("r1") - F.col("x") > max_s)
+        found = asof(open_, marks, F.col("x") + max_s, "c", ["c"], name="_p")
+        good = F.col("_p.c") > F.col("x") + max_s * 0.8
+        step = cut_lineage(found.select(*key, "x", F.when(good, F.col("_p.c")).otherwise(F.round(F.col("x") + max_s, 6)).alias("to"), F.coalesce(good, F.lit(False)).alias("_real")))
+        links += [step.select(*key, "x", "to"), fresh.filter(F.col("r1") - F.col("x") <= max_s).select(*key, "x", F.lit(None).cast("double").alias("to"))]
+        fresh = step.filter("not _real").select(*key, F.col("to").alias("x")).distinct()
+        if fresh.isEmpty():
+            break
+    every = links[0]
+    for part in links[1:]:
+        every = every.unionByName(part)
+    micro = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+    nodes = every.distinct().select(*key, micro("x").alias("id"), F.coalesce(micro("to"), F.lit(NEVER)).alias("nxt"))
+    hits = chain(nodes, key, chunk=int(max_s * 1e6 * 64)).withColumn("s", F.col("id") / 1e6)
+    near = neighbours(hits, Layout(tuple(key), ("s",), max_s * 64), lead={"e": "s"})
+    out = near.select("media_id", "s", F.coalesce("e", "r1").alias("e"))
     return out.filter(F.col("e") - F.col("s") > least)
-
-

@@ -1,8 +1,8 @@
 """Exact interpolated percentiles without gathering a group.
 
 A mergeable sketch brackets each percentile, and only the values inside the bracket are ranked:
-at most about ``4 / ACCURACY`` of a group's rows reach the final ranking, and equal values are
-counted before the shuffle. The sketch's error bound makes the bracket certain, so the result is
+at most about ``4 / ACCURACY`` of a group's rows (or ``2 * ACCURACY`` rows of a small group) reach
+the final ranking, and equal values are counted before the shuffle. The sketch's error bound makes the bracket certain, so the result is
 exact.
 """
 
@@ -36,7 +36,11 @@ def quantiles(
     joined = df.join(right, cond)
     marks = []
     for n, c in cols.items():
-        low, high = F.get(f"_b_{n}", F.lit(0)), F.get(f"_b_{n}", F.lit(1))
+        # Small groups are ranked whole; in large ones the bracket also covers the step between
+        # ranks out of n and ranks out of n - 1.
+        large = F.col(f"_n_{n}") > 2 * accuracy
+        low = F.when(large, F.get(f"_b_{n}", F.lit(0))).otherwise(F.lit(float("-inf")))
+        high = F.when(large, F.get(f"_b_{n}", F.lit(1))).otherwise(F.lit(float("inf")))
         at = F.when(c >= low, c)
         marks.append(F.when(c <= high, F.struct(F.lit(n).alias("spec"), at.alias("v"), F.col(f"_n_{n}").alias("n"))))
     counted = (

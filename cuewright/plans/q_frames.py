@@ -174,7 +174,7 @@ def win26(spark, d):
 
 
 _NEAR = """, b2 as (select media_id, frame as seq, round(frame*0.02::double,2) as t from level where frame%30=11),
-    f as (select b.media_id, b.seq, b.t, l.frame, l.frame*0.02::double as at, db, lead(db,1) over w as d1, lead(db,2) over w as d2, lag(db,1) over w as p1, lag(db,2) over w as p2, row_number() over w as i
+    f as (select b.media_id, b.seq, b.t, l.frame, l.frame*0.02::double as tt, db, lead(db,1) over w as d1, lead(db,2) over w as d2, lag(db,1) over w as p1, lag(db,2) over w as p2, row_number() over w as i
       from b2 b join level l on l.media_id=b.media_id and l.frame between greatest(floor((t-1.2::double)/0.02::double+1e-6::double),0) and floor((t+1.2::double)/0.02::double+1e-6::double)
       window w as (partition by b.media_id, b.seq order by l.frame))"""
 
@@ -183,15 +183,15 @@ def _cut_points(spark, d):
     return B.level(spark, d).filter("frame % 30 = 11").select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.02, 2).alias("t"))
 
 
-@query("win27_splice_out", with_("level", _NEAR + """, v as (select media_id, seq, max(at) filter (db>-35 and at<=t+0.1::double+1e-6::double) as v from f group by 1,2),
-    s as (select f.media_id, f.seq, v, coalesce(round(min(at) filter (at>v and db<-35 and d1<-35)+0.02::double,2), round(v+0.12::double,2)) as sh from f join v using (media_id, seq) group by 1,2,3),
-    l as (select f.media_id, f.seq, sh, coalesce(round(min(at) filter (at>sh and db>-20 and d1>-20 and d2>-20)-0.05::double,2), sh) as lo from f join s using (media_id, seq) group by 1,2,3)
+@query("win27_splice_out", with_("level", _NEAR + """, v as (select media_id, seq, max(tt) filter (db>-35 and tt<=t+0.1::double+1e-6::double) as v from f group by 1,2),
+    s as (select f.media_id, f.seq, v, coalesce(round(min(tt) filter (tt>v and db<-35 and d1<-35)+0.02::double,2), round(v+0.12::double,2)) as sh from f join v using (media_id, seq) group by 1,2,3),
+    l as (select f.media_id, f.seq, sh, coalesce(round(min(tt) filter (tt>sh and db>-20 and d1>-20 and d2>-20)-0.05::double,2), sh) as lo from f join s using (media_id, seq) group by 1,2,3)
     select b2.media_id, b2.seq, coalesce(case when round(lo-sh,6)<=0.3::double then lo else sh end, t) as suggested from b2 left join l using (media_id, seq)"""))
 def win27(spark, d):
     return fr.suggest_splice(_cut_points(spark, d), B.level(spark, d), ["seq"], "out").select("media_id", "seq", "suggested")
 
 
-@query("win27_splice_in", with_("level", _NEAR + """, x as (select *, row_number() over (partition by media_id, seq order by frame) as rn from f where at>=t-0.1::double-1e-6::double and db>-20 and d1>-20 and d2>-20),
+@query("win27_splice_in", with_("level", _NEAR + """, x as (select *, row_number() over (partition by media_id, seq order by frame) as rn from f where tt>=t-0.1::double-1e-6::double and db>-20 and d1>-20 and d2>-20),
     y as (select media_id, seq, round((frame - case when coalesce(p1>-27,false) and coalesce(p2>-27,false) then 2 when coalesce(p1>-27,false) then 1 else 0 end)*0.02::double-0.02::double,2) as g from x where rn=1)
     select b2.media_id, b2.seq, coalesce(g, t) as suggested from b2 left join y using (media_id, seq)"""))
 def win27b(spark, d):
@@ -345,8 +345,8 @@ def ag27(spark, d):
 
 
 @query("ag19_shot_crop", _rec("frame_diff face", _SHOTS + """, m as (select s.media_id, s.f0, s.f1, median(f.x) as fx from shot s left join face f on f.media_id=s.media_id and f.frame>=s.f0 and f.frame<s.f1 and f.frame%4=0 group by 1,2,3),
-    c as (select *, case when fx is not null then round(round(greatest(0,least(1,(fx-304)/1312.0::double))/0.005::double)*0.005::double,3) end as c from m)
-    select media_id, f0, f1, coalesce(last_value(c ignore nulls) over (partition by media_id order by f0 rows between unbounded preceding and current row),0.5) as cropx from c"""))
+    cr as (select *, case when fx is not null then round(round(greatest(0,least(1,(fx-304)/1312.0::double))/0.005::double)*0.005::double,3) end as c from m)
+    select media_id, f0, f1, coalesce(last_value(c ignore nulls) over (partition by media_id order by f0 rows between unbounded preceding and current row),0.5) as cropx from cr"""))
 def ag19(spark, d):
     return fr.shot_crop(B.face(spark, d).filter("frame % 4 = 0"), _shots(spark, d), 1920.0, 608.0)
 
@@ -455,16 +455,16 @@ def flt13(spark, d):
 
 @query("win40_speech_blocks", _rec("interval", """, l as (select media_id, max(e)+60 as duration from "interval" group by 1),
     si as (select media_id, s, s+value_s as e from (select media_id, s, e-s+100 as value_s from "interval" where kind='error')),
-    pz as (select media_id, (s+e)/2 as c from "interval" where kind<>'error'),
+    pz as (select media_id, round((s+e)/2,6) as c from "interval" where kind<>'error'),
     m as (select media_id, s, greatest(0,coalesce(max(e-1) over (partition by media_id order by s,e rows between unbounded preceding and 1 preceding),0)) as r from si),
     rg as (select media_id, r as s, s+1 as e from m union all select l.media_id, greatest(0,coalesce((select max(e-1) from si where si.media_id=l.media_id),0)), duration from l),
-    ch as (select media_id, s, e, s as x from rg where e>s union all select ch.media_id, ch.s, ch.e, case when (select max(c) from pz where pz.media_id=ch.media_id and c<=ch.x+20000)>ch.x+16000 then
-        (select max(c) from pz where pz.media_id=ch.media_id and c<=ch.x+20000) else ch.x+20000 end from ch where ch.e-ch.x>20000)
-    select media_id, x as s, coalesce(lead(x) over (partition by media_id, s, e order by x), e) as e from ch qualify coalesce(lead(x) over (partition by media_id, s, e order by x), e)-x>2"""))
+    ch as (select media_id, s, e, s as x from rg where e>s union all select ch.media_id, ch.s, ch.e, case when (select max(c) from pz where pz.media_id=ch.media_id and c<=ch.x+200000)>ch.x+160000 then
+        (select max(c) from pz where pz.media_id=ch.media_id and c<=ch.x+200000) else ch.x+200000 end from ch where ch.e-ch.x>200000)
+    select media_id, round(x,6) as s, coalesce(lead(x) over (partition by media_id, s, e order by x), e) as e from ch qualify coalesce(lead(x) over (partition by media_id, s, e order by x), e)-x>2"""))
 def win40(spark, d):
     ev = B.interval(spark, d)
     lengths = ev.groupBy("media_id").agg((F.max("e") + 60).alias("duration"))
     silence = ev.filter("kind = 'error'").select("media_id", "s", (F.col("s") + (F.col("e") - F.col("s") + 100)).alias("e"))
-    return fr.speech_blocks(silence, lengths, ev.filter("kind <> 'error'"), 20000.0)
+    return fr.speech_blocks(silence, lengths, ev.filter("kind <> 'error'"), 200000.0)
 
 
