@@ -29,11 +29,10 @@ CHUNK = 1 << 16
 NEVER = 1 << 62
 
 
-def leave_chunk(ids: np.ndarray, nxt: np.ndarray, stop: int) -> np.ndarray:
-    """First chain id at or past ``stop`` for each node of one chunk (ids sorted)."""
-    hop = np.arange(len(ids))
-    inside = nxt < stop
-    hop[inside] = np.searchsorted(ids, nxt[inside])
+def leave_chunk(ids: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """First chain id outside the chunk for each node of it (ids sorted)."""
+    hop = np.searchsorted(ids, nxt)
+    hop = np.where(hop < len(ids), hop, np.arange(len(ids)))
     while True:
         further = hop[hop]
         if np.array_equal(further, hop):
@@ -59,7 +58,7 @@ def chain(nodes: DataFrame, key: Sequence[str], chunk: int = CHUNK) -> DataFrame
     def leave(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("id")
         ids = g["id"].to_numpy()
-        return g[key].assign(id=ids, out=leave_chunk(ids, g["nxt"].to_numpy(), (int(g["_chunk"].iloc[0]) + 1) * chunk))
+        return g[key].assign(id=ids, out=leave_chunk(ids, g["nxt"].to_numpy()))
 
     spanning = ends.filter("_c1 > _c0")
     exits = (

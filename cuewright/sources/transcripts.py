@@ -28,7 +28,7 @@ CAPTION_SCHEMA = (
 
 def whole_files(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
     """One row per file: ``media_id`` (file stem) and ``content``."""
-    raw = spark.read.option("wholetext", True).option("encoding", encoding).text(glob)
+    raw = spark.read.option("encoding", encoding).text(glob, wholetext=True)
     path = F.input_file_name()
     return raw.select(
         F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1).alias("media_id"), F.col("value").alias("content")
