@@ -306,7 +306,7 @@ def join_loudness(splices: DataFrame, level: DataFrame, row: Sequence[str], hop:
     mean = lambda a, b: F.aggregate(
         F.filter("near", lambda x: (x["frame"] >= F.floor(at + a + 1e-6)) & (x["frame"] < F.floor(at + b + 1e-6))),
         F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc["s"] + x["db"]).alias("s"), (acc["n"] + 1).alias("n")),
-        lambda acc: acc["s"] / acc["n"],
+        lambda acc: F.try_divide(acc["s"], acc["n"]),
     )
     both = near.join(speech, "media_id").withColumn("before", mean(-9, -4)).withColumn("after", mean(4, 9))
     strong = (F.col("before") > F.col("speech") - within) & (F.col("after") > F.col("speech") - within)

@@ -58,7 +58,7 @@ def chain(nodes: DataFrame, key: Sequence[str], chunk: int = CHUNK) -> DataFrame
     def leave(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("id")
         ids = g["id"].to_numpy()
-        return g[key].assign(id=ids, out=leave_chunk(ids, g["nxt"].to_numpy()))
+        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(ids) for k in key}, "id": ids, "out": leave_chunk(ids, g["nxt"].to_numpy())})
 
     spanning = ends.filter("_c1 > _c0")
     exits = (

@@ -67,7 +67,7 @@ def seg2(spark, d):
     q as (select p.*, length(p.text) as n, c.s, c.e, length(c.text) as whole, c.text as full_text from p join (select clip_id||'-'||seq as clip_id, s, e, text from caption) c using (clip_id)),
     t as (select *, sum(n) over (partition by clip_id) as total, coalesce(sum(n) over (partition by clip_id order by part rows between unbounded preceding and 1 preceding),0) as before,
        count(*) over (partition by clip_id) as parts from q)
-    select clip_id, part, round(s+(e-s)*before/total,3) as s, round(case when part=parts-1 then e else s+(e-s)*(before+n)/total end,3) as e, text from t
+    select clip_id, part, round(s+(e-s)*(before/total::double),3) as s, round(case when part=parts-1 then e else s+(e-s)*((before+n)/total::double) end,3) as e, text from t
     """).replace("with recursive", "with recursive caption as (select conv_id as clip_id, turn as seq, cast(turn*10 as double) as s, turn*10+length(text)/cast(20+10*(turn%4) as double) as e, text from conversations),", 1))
 def seg3(spark, d):
     cues = B.caption(spark, d).withColumn("clip_id", F.concat_ws("-", "clip_id", "seq"))
