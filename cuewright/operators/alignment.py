@@ -159,7 +159,7 @@ def align_words(asr: DataFrame, aligned: DataFrame, ahead: int = 4, chunk: int =
 
     def step(group: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         if group.empty:
-            return pd.DataFrame({key: [], "pos": [], "j": [], "state": []})
+            return pd.DataFrame([])
         g = group.sort_values("pos")
         at = int(g["state"].iloc[0])
         seq = dict(zip(ref["j"], ref["r"], strict=True))
@@ -237,7 +237,8 @@ def locate(pairs: DataFrame, query: DataFrame, cand: DataFrame, chunk: int = 409
                 r = np.correlate(v - v.mean(), x, "valid") / n / sd
                 k = int(np.argmax(np.round(r, 9)))
                 out.append((qid, mid, int(at) + k, round(float(r[k]), 9)))
-            yield pd.DataFrame(out, columns=["query_id", "media_id", "frame", "score"])
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "media_id", "frame", "score"])
 
     found = rows.mapInPandas(scan, schema)
     best = F.max_by(F.struct("frame", "score"), F.struct("score", -F.col("frame")))

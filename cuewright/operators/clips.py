@@ -36,16 +36,18 @@ def clip_cues(
     """Cues cut to the kept intervals and moved to output time. A cue of which only a part is kept
     shows the matching share of its words; a part without words is dropped."""
     placed = offsets(keep)
-    hits = interval_join(cues, placed, min_overlap=drop)
+    hits = interval_join(cues.select("media_id", "seq", "s", "e"), placed, min_overlap=drop)
     s2, e2 = F.greatest("s", "b_s"), F.least("e", "b_e")
     span = F.greatest(F.lit(1e-6), F.col("e") - F.col("s"))
-    words = tokens(apply_fixes("text", fixes) if fixes else F.col("text"))
-    part = slice_words(words, (s2 - F.col("s")) / span, (e2 - F.col("s")) / span, whole)
-    return hits.select(
-        "media_id", "seq", F.col("b_s").alias("keep_s"),
-        (F.col("b_off") + (s2 - F.col("b_s"))).alias("s"), (F.col("b_off") + (e2 - F.col("b_s"))).alias("e"),
-        F.array_join(part, " ").alias("text"),
-    ).filter("text <> ''")
+    cut = hits.select(
+        "media_id", "seq", F.col("b_s").alias("keep_s"), (F.col("b_off") + (s2 - F.col("b_s"))).alias("s"),
+        (F.col("b_off") + (e2 - F.col("b_s"))).alias("e"), ((s2 - F.col("s")) / span).alias("_f0"), ((e2 - F.col("s")) / span).alias("_f1"),
+    )
+    # The join above moves times only; each cue's words are split once and attached afterwards.
+    spoken = cues.select("media_id", "seq", tokens(apply_fixes("text", fixes) if fixes else F.col("text")).alias("_w"))
+    part = slice_words("_w", F.col("_f0"), F.col("_f1"), whole)
+    shown = cut.join(spoken, ["media_id", "seq"]).select("media_id", "seq", "keep_s", "s", "e", F.array_join(part, " ").alias("text"))
+    return shown.filter("text <> ''")
 
 
 def clip_edges(clips: DataFrame, words: DataFrame, lo: float = 30.0, hi: float = 90.0, reach: float = 6.0) -> DataFrame:

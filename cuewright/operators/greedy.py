@@ -129,9 +129,10 @@ def by_rule(
         data = [g[c].tolist() for c in columns]
         pos, mine = g["pos"].to_numpy(), int(g["_chunk"].iloc[0])
         pairs = [p for i in np.flatnonzero(pos // chunk == mine) for p in rule(data, int(i), int(pos[0]), len(pos))]
-        ids, nxt = zip(*pairs, strict=True) if pairs else ((), ())
-        head = {k: g[k].iloc[0] for k in key}
-        return pd.DataFrame({**{k: [v] * len(ids) for k, v in head.items()}, "id": ids, "nxt": nxt})
+        if not pairs:  # a chunk that only holds its neighbour's margin
+            return pd.DataFrame([])
+        ids, nxt = zip(*pairs, strict=True)
+        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(ids) for k in key}, "id": ids, "nxt": nxt})
 
     return spread.groupBy(*key, "_chunk").applyInPandas(step, _fields(df, key, "id", "nxt"))
 
