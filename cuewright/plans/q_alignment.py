@@ -92,17 +92,16 @@ def ag16(spark, d):
     return al.alignment_drift(al.align_words(asr, ref))
 
 
-@query("jn30_locate", with_("level", """, q as (select media_id as query_id, frame-20 as frame, db from level where media_id<3 and frame between 20 and 59),
-    c as (select * from level where media_id>=3 and media_id<9),
-    x as (select q.query_id, c.media_id, c.frame-q.frame as lag, round(corr(q.db,c.db),9) as score, count(*) as n from q join c on true group by 1,2,3 having count(*)=40)
+@query("jn30_locate", with_("level", """, q as (select media_id as query_id, frame-20 as frame, db from level where frame between 20 and 59),
+    x as (select q.query_id, c.media_id, c.frame-q.frame as lag, round(corr(q.db,c.db),9) as score, count(*) as n from q join level c on c.media_id in (q.query_id+1, q.query_id+2) group by 1,2,3 having count(*)=40)
     select query_id, media_id, arg_max(lag,(score,-lag)) as frame, round(max(score),6) as score from x group by 1,2"""))
 def jn30(spark, d):
     lv = B.level(spark, d)
-    q = lv.filter("media_id < 3 and frame between 20 and 59").select(F.col("media_id").alias("query_id"), (F.col("frame") - 20).alias("frame"), "db")
-    cand = lv.filter("media_id >= 3 and media_id < 9")
-    names = F.sequence(F.lit(3).cast("bigint"), F.lit(8).cast("bigint"))
-    pairs = q.select("query_id").distinct().select("query_id", F.explode(names).alias("media_id"))
-    return al.locate(pairs, q, cand).withColumn("score", F.round("score", 6))
+    q = lv.filter("frame between 20 and 59").select(F.col("media_id").alias("query_id"), (F.col("frame") - 20).alias("frame"), "db")
+    # Each excerpt is looked for in the two recordings made after its own.
+    later = F.array(F.col("query_id") + 1, F.col("query_id") + 2)
+    pairs = q.select("query_id").distinct().select("query_id", F.explode(later).alias("media_id"))
+    return al.locate(pairs, q, lv).withColumn("score", F.round("score", 6))
 
 
 @query("jn32_other_voice", with_("level keep", """, sim as (select media_id, frame, (db+60)/50 as sim from level), sp as (select media_id, s+1 as s, e-1 as e from keep),
@@ -121,7 +120,7 @@ def jn32(spark, d):
 
 @query("jn33_drop_overlapped")
 def jn33(spark, d):
-    caps = B.caption(spark, d).select("clip_id", "s", (F.col("s") + 0.4).alias("e"), F.substring("text", 1, 40).alias("text"), F.lit(False).alias("repaired"))
+    caps = B.caption(spark, d).select("clip_id", "s", (F.col("s") + 0.4).alias("e"), "text", F.lit(False).alias("repaired"))
     twin = caps.select("clip_id", (F.col("s") + 0.1).alias("s"), (F.col("e") + 0.2).alias("e"), F.concat("text", F.lit(" ok")).alias("text"), F.lit(True).alias("repaired"))
     return al.drop_overlapped(caps.unionByName(twin))
 
@@ -148,13 +147,13 @@ def win10(spark, d):
     return al.repair_zero_time(z).select("media_id", "seq", "s", "e", "repaired")
 
 
-@query("win11_patch_words", with_("word", """, p as (select doc_id as media_id, 3.0::double as a, 5.5::double as b, string_split(trim(regexp_replace(substr(text,1,30),'\\s+',' ','g')),' ') as w from documents where doc_id%2=0),
+@query("win11_patch_words", with_("word", """, p as (select doc_id as media_id, 3.0::double as a, 5.5::double as b, [lang, 'spoken', source] as w from documents),
     x as (select media_id, a, b, unnest(w) as word, generate_subscripts(w,1) as i, list_sum(list_transform(w, lambda z: length(z))) as tot, w from p),
     y as (select media_id, word, round(a+(b-a)*coalesce(list_sum(list_transform(w[1:i-1], lambda z: length(z))),0)/tot,3) as s, round(a+(b-a)*list_sum(list_transform(w[1:i], lambda z: length(z)))/tot,3) as e from x where word<>'')
     select media_id, word, s, e from word w where not exists (select 1 from p where p.media_id=w.media_id and w.s>=a-1e-6::double and w.s<b) union all select * from y"""))
 def win11(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 2 = 0")
-    patches = docs.select(F.col("doc_id").alias("media_id"), F.lit(3.0).alias("a"), F.lit(5.5).alias("b"), F.substring("text", 1, 30).alias("text"))
+    docs = table(spark, d, "documents")
+    patches = docs.select(F.col("doc_id").alias("media_id"), F.lit(3.0).alias("a"), F.lit(5.5).alias("b"), F.concat_ws(" ", "lang", F.lit("spoken"), "source").alias("text"))
     return al.patch_words(B.word(spark, d), patches)
 
 

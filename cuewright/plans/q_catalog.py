@@ -28,7 +28,7 @@ def ag10(spark, d):
     return docs.withColumn("n", F.octet_length("body")).select("doc_id", files.quick_hash("body", "n").alias("qhash"))
 
 
-@query("src11_file_inventory", f"""select root, files, bytes from (select source as root, count(*) as files, sum(n_chars) as bytes from documents where doc_id%17<>0 group by 1)""")
+@query("src11_file_inventory", f"""select root, files, bytes from (select source as root, count(*) as files, cast(sum(n_chars) as bigint) as bytes from documents where doc_id%17<>0 group by 1)""")
 def src11(spark, d):
     name = F.when(F.col("doc_id") % 34 == 0, ".DS_Store").when(F.col("doc_id") % 17 == 0, "._x").otherwise("a.txt")
     listed = table(spark, d, "documents").select("source", name.alias("name"), "n_chars")
@@ -209,12 +209,12 @@ def jn25(spark, d):
 
 
 @query("jn24_unspoken_labels", with_("word keep", f""", lab as (select k.media_id, k.s as label_id, k.s+4 as t, b.text from keep k join
-      (select item_id, text[1:60] as text, count(*) over () as n from benchmark) b on b.item_id=(k.media_id*5+cast(k.s as bigint)//12)%b.n),
+      (select item_id, text, count(*) over () as n from benchmark) b on b.item_id=(k.media_id*5+cast(k.s as bigint)//12)%b.n),
     st as (select distinct media_id, label_id, t, text, unnest(list_transform(regexp_extract_all({_FOLD.format('text')},'[a-zà-ÿ]{{4,}}'), lambda w: w[1:5])) as stem from lab),
     hit as (select distinct st.media_id, st.label_id from st join word w on w.media_id=st.media_id and w.s>st.t-8 and w.s<st.t+8 and contains({_FOLD.format('w.word')}, stem))
     select distinct media_id, label_id from st where not exists (select 1 from hit where hit.media_id=st.media_id and hit.label_id=st.label_id)"""))
 def jn24(spark, d):
-    texts = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("text"))
+    texts = table(spark, d, "benchmark").select("item_id", "text")
     n = texts.agg(F.count("*").alias("n"))
     keep = B.keep(spark, d).join(F.broadcast(n))  # one row
     item = (F.col("media_id") * 5 + F.floor(F.col("s") / 12)) % F.col("n")
@@ -265,7 +265,7 @@ def ag21(spark, d):
 
 
 @query("ag22_session_cost", f"""with {TURN_SQL}, e as (select session, 'r'||target as target, min(idx) as a, max(idx) as b from turns where target in (1,4) group by 1,2)
-    select e.session, e.target, b-a+1 as turns, sum(output_tokens) as output_tokens, sum(cache_read) as cache_read, count(*) filter (is_read) as images, count(*) filter (not is_read) as commands,
+    select e.session, e.target, b-a+1 as turns, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cache_read) as bigint) as cache_read, count(*) filter (is_read) as images, count(*) filter (not is_read) as commands,
       round((epoch_us(max(ts))-epoch_us(min(ts)))/60e6,3) as minutes from e join turns t on t.session=e.session and t.idx between a and b group by 1,2,3""")
 def ag22(spark, d):
     return ev.session_cost(logs.parse_turns(session_lines(spark, d)), ["r1", "r4"])

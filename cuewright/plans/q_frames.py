@@ -58,10 +58,10 @@ def flt12(spark, d):
 
 
 @query("win19_stray_frames", with_("frame_diff", """, p as (select media_id, frame, lead(frame) over (partition by media_id order by frame)-frame as frames from frame_diff where diff>=50)
-    select media_id, frame, frames from p where frames<=4 and not (frame%3=0 and frame%20<17.5::double)"""))
+    select media_id, frame, frames from p where frames<=4 and not (frame%20<17.5::double)"""))
 def win19(spark, d):
     diff = B.frame_diff(spark, d)
-    mix = diff.filter("frame % 3 = 0").select("media_id", "frame", (F.col("frame") % 20).cast("double").alias("mix"))
+    mix = diff.select("media_id", "frame", (F.col("frame") % 20).cast("double").alias("mix"))
     return fr.stray_frames(diff.withColumn("diff", F.col("diff") - 15), mix, 35.0, 4)
 
 
@@ -99,11 +99,10 @@ def win24(spark, d):
 
 def _spoken(spark, d):
     """Words as the recogniser might time them over the level frames of each recording."""
-    lv = B.level(spark, d).filter("frame % 40 = 7")
-    return lv.select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.01, 2).alias("s"), F.round(F.col("frame") * 0.01 + 0.3, 2).alias("e"))
+    return B.level(spark, d).select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.01, 2).alias("s"), F.round(F.col("frame") * 0.01 + 0.3, 2).alias("e"))
 
 
-_SPOKEN = """, spoken as (select media_id, frame as seq, round(frame*0.01::double,2) as s, round(frame*0.01::double+0.3::double,2) as e from level where frame%40=7)"""
+_SPOKEN = """, spoken as (select media_id, frame as seq, round(frame*0.01::double,2) as s, round(frame*0.01::double+0.3::double,2) as e from level)"""
 
 
 @query("win25_word_onset", with_("level", _SPOKEN + """, on6 as (""" + _ONSET.format(g=6).replace("-25", "-40").replace("-11", "-30") + """),
@@ -133,7 +132,7 @@ def jn7(spark, d):
 
 _RUNS = """, g as (select media_id, frame, frame-row_number() over (partition by media_id order by frame) as run from level where db<-24),
     sil as (select media_id, round(min(frame)*0.05::double,3) as s, round((max(frame)+1)*0.05::double,3) as e from g group by media_id, run having count(*)>=3),
-    bnd as (select media_id, frame as seq, round(frame*0.05::double,3) as t from level where frame%15=4)"""
+    bnd as (select media_id, frame as seq, round(frame*0.05::double,3) as t from level)"""
 
 
 def _silences(spark, d):
@@ -142,7 +141,7 @@ def _silences(spark, d):
 
 
 def _boundaries(spark, d):
-    return B.level(spark, d).filter("frame % 15 = 4").select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.05, 3).alias("t"))
+    return B.level(spark, d).select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.05, 3).alias("t"))
 
 
 @query("jn8_snap_silence", with_("level", _RUNS + """, p as (select b.media_id, b.seq, b.t, s.s, round(least(s.e, s.s+0.12::double),3) as c from bnd b join sil s on s.media_id=b.media_id
@@ -173,14 +172,14 @@ def win26(spark, d):
     return fr.snap_rise(_spoken(spark, d), B.level(spark, d), ["seq"]).select("media_id", "seq", "rise")
 
 
-_NEAR = """, b2 as (select media_id, frame as seq, round(frame*0.02::double,2) as t from level where frame%30=11),
+_NEAR = """, b2 as (select media_id, frame as seq, round(frame*0.02::double,2) as t from level),
     f as (select b.media_id, b.seq, b.t, l.frame, l.frame*0.02::double as tt, db, lead(db,1) over w as d1, lead(db,2) over w as d2, lag(db,1) over w as p1, lag(db,2) over w as p2, row_number() over w as i
       from b2 b join level l on l.media_id=b.media_id and l.frame between greatest(floor((t-1.2::double)/0.02::double+1e-6::double),0) and floor((t+1.2::double)/0.02::double+1e-6::double)
       window w as (partition by b.media_id, b.seq order by l.frame))"""
 
 
 def _cut_points(spark, d):
-    return B.level(spark, d).filter("frame % 30 = 11").select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.02, 2).alias("t"))
+    return B.level(spark, d).select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.02, 2).alias("t"))
 
 
 @query("win27_splice_out", with_("level", _NEAR + """, v as (select media_id, seq, max(tt) filter (db>-35 and tt<=t+0.1::double+1e-6::double) as v from f group by 1,2),
@@ -200,12 +199,11 @@ def win27b(spark, d):
 
 def _keeps(spark, d):
     """Kept stretches over the level frames: 40 frames kept, 10 removed."""
-    return B.level(spark, d).filter("frame % 50 = 3").select(
-        "media_id", F.round(F.col("frame") * 0.01, 2).alias("s"), F.round((F.col("frame") + 40) * 0.01, 2).alias("e")
-    )
+    grid = B.level(spark, d).groupBy("media_id", F.floor(F.col("frame") / 50).alias("g")).agg((F.min("frame") + 3).alias("f"))
+    return grid.select("media_id", F.round(F.col("f") * 0.01, 2).alias("s"), F.round((F.col("f") + 40) * 0.01, 2).alias("e"))
 
 
-_KEEPS = ", kp as (select media_id, round(frame*0.01::double,2) as s, round((frame+40)*0.01::double,2) as e from level where frame%50=3)"
+_KEEPS = ", kp as (select media_id, round(f*0.01::double,2) as s, round((f+40)*0.01::double,2) as e from (select media_id, min(frame)+3 as f from level group by media_id, frame//50))"
 
 
 @query("win30_join_silence", with_("level", _KEEPS + """, n as (select *, lead(s) over (partition by media_id order by s,e) as n0, lead(e) over (partition by media_id order by s,e) as n1 from kp),
@@ -225,12 +223,12 @@ def ag25(spark, d):
     return fr.voice_music_gap(B.level(spark, d))
 
 
-@query("flt16_join_loudness", with_("level", _VOICE + """, b as (select media_id, frame as seq, round(frame*0.01::double,2) as t from level where frame%25=12),
+@query("flt16_join_loudness", with_("level", _VOICE + """, b as (select media_id, frame as seq, round(frame*0.01::double,2) as t from level),
     m as (select b.media_id, b.seq, avg(db) filter (l.frame>=floor(t/0.01::double-9+1e-6::double) and l.frame<floor(t/0.01::double-4+1e-6::double)) as bef, avg(db) filter (l.frame>=floor(t/0.01::double+4+1e-6::double) and l.frame<floor(t/0.01::double+9+1e-6::double)) as aft
       from b join level l on l.media_id=b.media_id and l.frame between b.seq-10 and b.seq+10 group by 1,2)
     select media_id, seq, round(bef,3) as before, round(aft,3) as after from m join vl using (media_id) where bef>speech-6 and aft>speech-6"""))
 def flt16(spark, d):
-    cuts = B.level(spark, d).filter("frame % 25 = 12").select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.01, 2).alias("t"))
+    cuts = B.level(spark, d).select("media_id", F.col("frame").alias("seq"), F.round(F.col("frame") * 0.01, 2).alias("t"))
     return fr.join_loudness(cuts, B.level(spark, d), ["seq"]).select("media_id", "seq", "before", "after")
 
 
@@ -241,13 +239,14 @@ def flt15(spark, d):
     return fr.sfx_over_voice(sfx, B.level(spark, d))
 
 
-@query("ag11_segment_p90", with_("level", """, sg as (select media_id, frame as k, frame as f0, frame+45 as f1 from level where frame%60=5),
+@query("ag11_segment_p90", with_("level", """, sg as (select media_id, min(frame) as k, min(frame) as f0, min(frame)+45 as f1 from level group by media_id, frame//60),
     j as (select s.media_id, s.k, (l.frame-s.f0)//20 as piece, l.db from sg s join level l on l.media_id=s.media_id and l.frame>=s.f0 and l.frame<s.f1 and db>-55),
     lo as (select media_id, k, min(p) as lowest_piece from (select media_id, k, quantile_cont(db,0.9) as p, count(*) as n from j group by media_id, k, piece) where n>=8 group by 1,2),
     w as (select media_id, k, quantile_cont(db,0.9) as p90 from j group by 1,2)
     select s.media_id, s.k, round(p90,6) as p90, round(lowest_piece,6) as lowest_piece from sg s left join w using (media_id,k) left join lo using (media_id,k)"""))
 def ag11(spark, d):
-    segs = B.level(spark, d).filter("frame % 60 = 5").select("media_id", F.col("frame").alias("k"), F.col("frame").alias("f0"), (F.col("frame") + 45).alias("f1"))
+    grid = B.level(spark, d).groupBy("media_id", F.floor(F.col("frame") / 60).alias("g")).agg(F.min("frame").alias("k"))
+    segs = grid.select("media_id", "k", F.col("k").alias("f0"), (F.col("k") + 45).alias("f1"))
     out = fr.segment_p90(segs, B.level(spark, d), ["k"], floor_db=-55.0)
     return out.select("media_id", "k", F.round("p90", 6).alias("p90"), F.round("lowest_piece", 6).alias("lowest_piece"))
 
@@ -344,11 +343,11 @@ def ag27(spark, d):
     return fr.caption_safe_y(faces)
 
 
-@query("ag19_shot_crop", _rec("frame_diff face", _SHOTS + """, m as (select s.media_id, s.f0, s.f1, median(f.x) as fx from shot s left join face f on f.media_id=s.media_id and f.frame>=s.f0 and f.frame<s.f1 and f.frame%4=0 group by 1,2,3),
+@query("ag19_shot_crop", _rec("frame_diff face", _SHOTS + """, m as (select s.media_id, s.f0, s.f1, median(f.x) as fx from shot s left join face f on f.media_id=s.media_id and f.frame>=s.f0 and f.frame<s.f1 group by 1,2,3),
     cr as (select *, case when fx is not null then round(round(greatest(0,least(1,(fx-304)/1312.0::double))/0.005::double)*0.005::double,3) end as c from m)
     select media_id, f0, f1, coalesce(last_value(c ignore nulls) over (partition by media_id order by f0 rows between unbounded preceding and current row),0.5) as cropx from cr"""))
 def ag19(spark, d):
-    return fr.shot_crop(B.face(spark, d).filter("frame % 4 = 0"), _shots(spark, d), 1920.0, 608.0)
+    return fr.shot_crop(B.face(spark, d), _shots(spark, d), 1920.0, 608.0)
 
 
 @query("win8_locf", with_("face", """select media_id, frame, last_value(case when score>=8 then x end ignore nulls) over (partition by media_id order by frame rows between unbounded preceding and current row) as x from face"""))
@@ -387,17 +386,18 @@ def win32(spark, d):
     return fr.pingpong(_levelled(spark, d), short_s=0.5)
 
 
-_KFR = ", kf as (select media_id, frame as f0, frame+25 as f1 from frame_diff where frame%40=2)"
+_KFR = ", kf as (select media_id, min(frame)+2 as f0, min(frame)+27 as f1 from frame_diff group by media_id, frame//40)"
 
 
 @query("win39_camera_ids", _rec("frame_diff", _KFR + """, mk as (select d.media_id, d.frame, k.f1 as ends, d.frame=k.f0 as head, d.diff>=48 as cut from frame_diff d join kf k on k.media_id=d.media_id and d.frame>=k.f0 and d.frame<k.f1 where d.diff>=48 or d.frame=k.f0),
     nx as (select a.media_id, a.frame, least((select min(frame) from mk b where b.media_id=a.media_id and b.cut and b.frame>=a.frame+6),(select min(frame) from mk b where b.media_id=a.media_id and b.head and b.frame>a.frame)) as nxt from mk a),
     ch as (select media_id, min(frame) as frame from mk group by 1 union all select ch.media_id, nx.nxt from ch join nx using (media_id, frame) where nx.nxt is not null),
     z as (select ch.media_id, ch.frame, ends, cut and ch.frame>min(ch.frame) over (partition by ch.media_id) as turn from ch join mk using (media_id, frame))
-    select media_id, frame as f0, least(coalesce(lead(frame) over (partition by media_id order by frame), ends), ends) as f1, sum(turn::int) over (partition by media_id order by frame) as camera from z"""))
+    select media_id, frame as f0, least(coalesce(lead(frame) over (partition by media_id order by frame), ends), ends) as f1, cast(sum(turn::int) over (partition by media_id order by frame) as bigint) as camera from z"""))
 def win39(spark, d):
     diff = B.frame_diff(spark, d)
-    keep = diff.filter("frame % 40 = 2").select("media_id", F.col("frame").alias("f0"), (F.col("frame") + 25).alias("f1"))
+    grid = diff.groupBy("media_id", F.floor(F.col("frame") / 40).alias("g")).agg(F.min("frame").alias("f"))
+    keep = grid.select("media_id", (F.col("f") + 2).alias("f0"), (F.col("f") + 27).alias("f1"))
     return fr.camera_ids(diff, keep, 48.0)
 
 

@@ -319,8 +319,8 @@ def fn28(spark, d):
       over (partition by media_id order by seq) as island from word),
     j as (select media_id, island, min(seq) as seq, string_agg(word,'' order by seq) as word, max(e) as e, count(*) as parts
       from g group by 1,2)
-    select media_id, count(*) as words, sum(case when parts>1 then 1 else 0 end) as glued,
-      sum(length(word)*(seq%97+1)) as spelled, max(e) as last_end from j group by 1"""))
+    select media_id, count(*) as words, count(*) filter (parts>1) as glued,
+      cast(sum(length(word)*(seq%97+1)) as bigint) as spelled, max(e) as last_end from j group by 1"""))
 def fn29(spark, d):
     joined = words.join_split_tokens(B.word(spark, d))
     return joined.groupBy("media_id").agg(

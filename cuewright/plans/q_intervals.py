@@ -196,12 +196,12 @@ def win15(spark, d):
 
 
 @query("set4_split_at", with_("keep word", """, m as (select media_id, s as k, unnest([s,e]) as t, s, e from keep
-      union select k.media_id, k.s, w.s, k.s, k.e from keep k join word w on w.media_id=k.media_id and w.s>k.s+0.04::double and w.s<k.e-0.04::double and w.seq%9=0),
+      union select k.media_id, k.s, w.s, k.s, k.e from keep k join word w on w.media_id=k.media_id and w.s>k.s+0.04::double and w.s<k.e-0.04::double),
     d as (select distinct media_id, k, t from m), p as (select media_id, k, t as s, lead(t) over (partition by media_id, k order by t) as e from d)
     select media_id, k, s, e from p where e is not null"""))
 def set4(spark, d):
     keep = B.keep(spark, d).withColumn("k", F.col("s"))
-    points = B.word(spark, d).filter("seq % 9 = 0").select("media_id", F.col("s").alias("t"))
+    points = B.word(spark, d).select("media_id", F.col("s").alias("t"))
     return iv.split_at(keep, points, guard=0.04, row=["k"])
 
 

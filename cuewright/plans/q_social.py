@@ -60,7 +60,7 @@ def ag7(spark, d):
 
 @query("ag8_patterns", with_("post", _RATES + """, m as (select platform, quantile_cont(engagement,0.5) as mid from rates group by 1),
     w as (select r.platform, format, likes%5 as style, year(published_at) as y, weekofyear(published_at) as w, count(*) as n from rates r join m using (platform) where engagement>mid group by 1,2,3,4,5),
-    t as (select platform, format, style, sum(n) as posts, count(*) as weeks from w group by 1,2,3)
+    t as (select platform, format, style, cast(sum(n) as bigint) as posts, count(*) as weeks from w group by 1,2,3)
     select platform, format, style, posts, weeks, case when posts>=3 and weeks>=2 then 'consistent' else 'isolated' end as pattern from t"""))
 def ag8(spark, d):
     posts = so.post_rates(B.post(spark, d)).withColumn("style", F.col("likes") % 5)

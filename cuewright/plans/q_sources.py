@@ -47,7 +47,7 @@ def src2(spark, d):
 
 def _asr(spark, d):
     words = F.transform(
-        F.slice(F.split(_flat(), " "), 1, 400),
+        F.split(_flat(), " "),
         lambda w, i: F.struct(w.alias("word"), (i * 0.4).alias("start"), (i * 0.4 + 0.3).alias("end")),
     )
     halves = F.array(
@@ -60,7 +60,7 @@ def _asr(spark, d):
     )
 
 
-@query("src3_read_asr_words", f"""with t as (select conv_id||'-'||turn as media_id, string_split({_FLAT},' ')[1:400] as w from conversations),
+@query("src3_read_asr_words", f"""with t as (select conv_id||'-'||turn as media_id, string_split({_FLAT},' ') as w from conversations),
     x as (select media_id, unnest(w) as word, generate_subscripts(w,1)-1 as seq, len(w) as n from t)
     select media_id, seq, 0 as seg, word, round(seq*0.4::double,6) as s, round(seq*0.4::double+0.3::double,6) as e from x where seq*0.4::double>=1.0 and seq*0.4::double<170
     union all select media_id, len(w), 1, 'fim', 160.0::double, 160.5::double from t""")
@@ -154,12 +154,12 @@ def src9(spark, d):
     return logs.parse_registry(c.select(content.alias("content")))
 
 
-@query("src12_read_textgrid", f"""with t as (select conv_id||'-'||turn as media_id, string_split({_FLAT},' ')[1:50] as w from conversations),
+@query("src12_read_textgrid", f"""with t as (select conv_id||'-'||turn as media_id, string_split({_FLAT},' ') as w from conversations),
     x as (select media_id, unnest(w) as word, generate_subscripts(w,1)-1 as i from t)
     select media_id, 2*i as seq, cast(i as double) as s, i+0.5::double as e, replace(word,'"','') as word, replace(word,'"','')='' as silence from x
     union all select media_id, 2*i+1, i+0.5::double, i+1.0::double, '', true from x""")
 def src12(spark, d):
-    words = F.slice(F.split(F.regexp_replace(_flat(), '"', ""), " "), 1, 50)
+    words = F.split(F.regexp_replace(_flat(), '"', ""), " ")
     def item(a, b, t):
         return F.concat(F.lit("        intervals [1]:\n            xmin = "), a, F.lit("\n            xmax = "), b, F.lit('\n            text = "'), t, F.lit('"'))
     grid = F.array_join(

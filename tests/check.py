@@ -20,6 +20,10 @@ TABLES = (
 ).split()
 
 
+SPARK_KINDS = {"bigint": "int", "int": "int", "double": "float", "string": "text", "boolean": "bool", "date": "date", "timestamp": "time", "timestamp_ntz": "time"}
+DUCK_KINDS = {"BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text", "BOOLEAN": "bool", "DATE": "date", "TIMESTAMP": "time"}
+
+
 def _plain(v):
     if isinstance(v, bool) or v is None:
         return v
@@ -54,6 +58,10 @@ def compare(spark, con, name, run, sql, sf_dir):
     want_cols, want = rows_of([c[0] for c in cur.description], cur.fetchall())
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}"
+    kinds = {r[0]: r[1] for r in con.execute("describe " + sql).fetchall()}
+    odd = [(f.name, f.dataType.simpleString(), kinds[f.name]) for f in df.schema if SPARK_KINDS.get(f.dataType.simpleString()) != DUCK_KINDS.get(kinds[f.name])]
+    if odd:
+        return False, f"types {odd}"
     if got != want:
         extra = [r for r in set(got) - set(want)][:3]
         missing = [r for r in set(want) - set(got)][:3]
