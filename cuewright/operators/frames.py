@@ -204,7 +204,7 @@ def place_in_pause(boundary: DataFrame, pauses: DataFrame, row: Sequence[str], k
     """Boundary ``t`` placed in the pause that fits its side: an end prefers the pause at or after
     it, a start the pause at or before it. Without a pause in reach it stays, marked in_speech."""
     ids = list(dict.fromkeys(["media_id", *row]))
-    t, far = F.col("t"), reach + 0.3
+    t, far = F.col("t"), round(reach + 0.3, 6)
     zone = boundary.select(*ids, "t", (t - far).alias("s"), (t + far).alias("e"))
     pairs = interval_join(zone, pauses.select("media_id", "s", "e"), bin_s=60.0)
     r0, r1 = F.greatest("b_s", F.floor((t - far) * 100) / 100), F.least("b_e", F.floor((t + far) * 100) / 100)
