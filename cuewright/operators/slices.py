@@ -184,6 +184,28 @@ def neighbours(
     return joined.select(*[c for c in df.columns if c not in made], *result)
 
 
+def lags(df: DataFrame, layout: Layout, col: str, n: int) -> DataFrame:
+    """Values of the ``n`` rows before each row, as ``lag_1`` .. ``lag_n``, in one pass."""
+    sliced = df.withColumn("_slice", layout.slice_of())
+    newest = Window.partitionBy(*layout.key, "_slice").orderBy(*[F.col(c).desc() for c in layout.order])
+    last = sliced.select(*layout.key, "_slice", *layout.order, F.col(col).alias("_v"))
+    last = last.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= n)
+    tails = last.groupBy(*layout.key, "_slice").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("_k")).alias("k"), "_v"))).alias("_t")
+    )
+    earlier = Window.partitionBy(*layout.key).orderBy("_slice").rowsBetween(-n, -1)
+    before = F.flatten(F.collect_list("_t").over(earlier))
+    joined = _attach(sliced, layout, tails.select(*layout.key, "_slice", before.alias("_b")))
+    inside = Window.partitionBy(*layout.key, "_slice").orderBy(*layout.order)
+    ranked = joined.withColumn("_r", F.row_number().over(inside))
+    out = []
+    for j in range(1, n + 1):
+        carried = F.try_element_at("_b", F.least(F.col("_r") - F.lit(j + 1), F.lit(-1)))["_v"]
+        value = F.when(F.col("_r") > j, F.lag(col, j).over(inside)).otherwise(carried)
+        out.append(value.alias(f"lag_{j}"))
+    return ranked.select(*df.columns, *out)
+
+
 def with_halo(df: DataFrame, layout: Layout, before: float, after: float) -> DataFrame:
     """Copy rows near a slice border into the neighbouring slice, so that a window reaching at
     most ``before`` back and ``after`` ahead on ``order[0]`` is complete inside one slice.

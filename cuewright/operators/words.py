@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import norm_key
-from cuewright.operators.slices import Layout, islands, neighbours
+from cuewright.operators.slices import Layout, islands, lags
 
 WORDS = Layout(("media_id",), ("seq",))
 
@@ -35,12 +35,10 @@ def join_split_tokens(words: DataFrame, layout: Layout = WORDS) -> DataFrame:
 
 def repeated_words(words: DataFrame, layout: Layout = WORDS, allowed: tuple[str, ...] = ("é",)) -> DataFrame:
     """A word equal to the one before it, or a pair equal to the pair before it."""
-    one = neighbours(words.withColumn("k", norm_key("word")), layout, lag={"k1": "k"})
-    two = neighbours(one, layout, lag={"k2": "k1"})
-    three = neighbours(two, layout, lag={"k3": "k2"})
-    same = (F.col("k") != "") & (F.col("k") == F.col("k1")) & ~F.col("k").isin(*allowed)
-    pair = F.concat("k3", "k2") == F.concat("k1", "k")
+    near = lags(words.withColumn("k", norm_key("word")), layout, "k", 3)
+    same = (F.col("k") != "") & (F.col("k") == F.col("lag_1")) & ~F.col("k").isin(*allowed)
+    pair = F.concat("lag_3", "lag_2") == F.concat("lag_1", "k")
     kinds = F.array_compact(
         F.array(F.when(same, F.lit("word")), F.when(pair, F.lit("pair")))
     )
-    return three.withColumn("repeat", F.explode(kinds)).drop("k", "k1", "k2", "k3")
+    return near.withColumn("repeat", F.explode(kinds)).select(*words.columns, "repeat")

@@ -14,7 +14,7 @@ from cuewright.operators import intervals as iv
 from cuewright.operators import segmentation as sg
 from cuewright.operators.greedy import blocks, chain
 from cuewright.operators.quantiles import quantiles
-from cuewright.operators.slices import Layout, neighbours, position, running, top_rows
+from cuewright.operators.slices import Layout, lags, neighbours, position, running, top_rows
 from cuewright.sources import logs, sinks, transcripts
 
 
@@ -52,6 +52,19 @@ def test_running_and_neighbours_cross_slices(numbers):
         assert r["after"] == (seq[i + 1][1] if i + 1 < len(seq) else None)
 
 
+def test_lags_cross_short_slices(numbers):
+    df, data = numbers
+    got = lags(df, Layout(("media_id",), ("seq",), 4), "v", 3).collect()
+    by = {}
+    for k, s, v in data:
+        by.setdefault(k, []).append((s, v))
+    for r in got:
+        seq = sorted(by[r["media_id"]])
+        i = [s for s, _ in seq].index(r["seq"])
+        want = [seq[i - j][1] if i >= j else None for j in (1, 2, 3)]
+        assert [r["lag_1"], r["lag_2"], r["lag_3"]] == want
+
+
 def test_chain_matches_walk_over_small_chunks(spark):
     rng = random.Random(3)
     data, want = [], {}
