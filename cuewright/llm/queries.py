@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import table
+from cuewright.llm.mixing import mix_counts
 from cuewright.llm.sharding import SHARDS, shard_plan
+from cuewright.llm.url_filter import filter_urls
 from cuewright.plans.registry import Query
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_plan(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -21,6 +32,8 @@ def llm_queries() -> dict[str, Query]:
     import corpus_pipeline
 
     return {
+        "op6_mixing": Query(op6_mixing, None),
+        "op7_url_filter": Query(op7_url_filter, None),
         "op9_sharding": Query(op9_sharding, None),
         "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
