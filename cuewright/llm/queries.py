@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from cuewright.llm.common import table
 from cuewright.llm.mixing import mix_counts
+from cuewright.llm.quality_rules import judge_documents
 from cuewright.llm.sharding import SHARDS, shard_plan
+from cuewright.llm.simhash_dedup import near_duplicates
 from cuewright.llm.url_filter import filter_urls
 from cuewright.plans.registry import Query
 
 
+def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_verdict"
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
@@ -32,6 +45,8 @@ def llm_queries() -> dict[str, Query]:
     import corpus_pipeline
 
     return {
+        "op3_simhash_golay": Query(op3_simhash_golay, None),
+        "op5_quality_rules": Query(op5_quality_rules, None),
         "op6_mixing": Query(op6_mixing, None),
         "op7_url_filter": Query(op7_url_filter, None),
         "op9_sharding": Query(op9_sharding, None),
