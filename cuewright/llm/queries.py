@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import table
+from cuewright.llm.decontamination import find_leaks
 from cuewright.llm.mixing import mix_counts
 from cuewright.llm.quality_rules import judge_documents
 from cuewright.llm.sharding import SHARDS, shard_plan
@@ -14,6 +15,10 @@ from cuewright.llm.url_filter import filter_urls
 from cuewright.plans.registry import Query
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -45,6 +50,7 @@ def llm_queries() -> dict[str, Query]:
     import corpus_pipeline
 
     return {
+        "op1_decontamination": Query(op1_decontamination, None),
         "op3_simhash_golay": Query(op3_simhash_golay, None),
         "op5_quality_rules": Query(op5_quality_rules, None),
         "op6_mixing": Query(op6_mixing, None),
