@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import table
 from cuewright.llm.decontamination import find_leaks
 from cuewright.llm.mixing import mix_counts
+from cuewright.llm.pii import find_personal_data
 from cuewright.llm.quality_rules import judge_documents
 from cuewright.llm.sharding import SHARDS, shard_plan
 from cuewright.llm.simhash_dedup import near_duplicates
@@ -19,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -51,6 +56,7 @@ def llm_queries() -> dict[str, Query]:
 
     return {
         "op1_decontamination": Query(op1_decontamination, None),
+        "op2_pii": Query(op2_pii, None),
         "op3_simhash_golay": Query(op3_simhash_golay, None),
         "op5_quality_rules": Query(op5_quality_rules, None),
         "op6_mixing": Query(op6_mixing, None),
