@@ -99,7 +99,8 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFra
     b, start, end = F.col("block_words"), F.col("_off"), F.col("_off") + F.col("size")
     pieces = keyed.filter("size > 0").select("sid", "_rn", "_off", "size", "block_words", F.explode(F.sequence(F.floor(start / b).cast("long"), F.floor((end - 1) / b).cast("long"))).alias("block"))
     pieces = pieces.select("sid", "_rn", "block", "_off", (F.greatest(start, F.col("block") * b) - F.col("block") * b).alias("_from"), (F.least(end, (F.col("block") + 1) * b) - F.col("block") * b).alias("_to"), (F.col("block") * b).alias("_at"))
-    hit = pieces.join(draws(layout, seed), ["sid", "block"]).withColumn("_to", F.least("_to", "words")).filter("_to > _from")
+    # the planner takes a slot table for as small as the layout it is exploded from, and would broadcast it
+    hit = pieces.join(draws(layout, seed).hint("merge"), ["sid", "block"]).withColumn("_to", F.least("_to", "words")).filter("_to > _from")
     ranges = hit.select("sid", "_rn", "epoch", (F.col("_at") + F.col("_from") - F.col("_off")).alias("first"), (F.col("_at") + F.col("_to") - F.col("_off")).alias("until"))
     taken = ranges.groupBy("sid", "_rn").agg(F.sum(F.col("until") - F.col("first")).alias("taken"))
     out = keyed.drop("_off", "block_words").join(taken, ["sid", "_rn"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
