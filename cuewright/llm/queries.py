@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import table
+from cuewright.llm.cotraining import score_quality
 from cuewright.llm.decontamination import find_leaks
 from cuewright.llm.mixing import mix_counts
 from cuewright.llm.pii import find_personal_data
 from cuewright.llm.quality_rules import judge_documents
 from cuewright.llm.sharding import SHARDS, shard_plan
 from cuewright.llm.simhash_dedup import near_duplicates
+from cuewright.llm.toxicity import score_toxicity
 from cuewright.llm.url_filter import filter_urls
 from cuewright.plans.registry import Query
 
@@ -28,6 +30,11 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"), "best_p")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_documents(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -44,6 +51,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_plan(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -58,9 +69,11 @@ def llm_queries() -> dict[str, Query]:
         "op1_decontamination": Query(op1_decontamination, None),
         "op2_pii": Query(op2_pii, None),
         "op3_simhash_golay": Query(op3_simhash_golay, None),
+        "op4_toxicity": Query(op4_toxicity, None),
         "op5_quality_rules": Query(op5_quality_rules, None),
         "op6_mixing": Query(op6_mixing, None),
         "op7_url_filter": Query(op7_url_filter, None),
+        "op8_cotraining": Query(op8_cotraining, None),
         "op9_sharding": Query(op9_sharding, None),
         "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
