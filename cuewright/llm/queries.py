@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import table
 from cuewright.llm.cotraining import score_quality
 from cuewright.llm.decontamination import find_leaks
+from cuewright.llm.html_extract import extract_text
 from cuewright.llm.mixing import mix_counts
 from cuewright.llm.pii import find_personal_data
 from cuewright.llm.quality_rules import judge_documents
@@ -62,6 +63,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def llm_queries() -> dict[str, Query]:
     import corpus_pipeline
 
@@ -75,5 +80,6 @@ def llm_queries() -> dict[str, Query]:
         "op7_url_filter": Query(op7_url_filter, None),
         "op8_cotraining": Query(op8_cotraining, None),
         "op9_sharding": Query(op9_sharding, None),
+        "op10_html_extraction": Query(op10_html_extraction, None),
         "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
