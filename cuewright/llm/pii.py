@@ -23,7 +23,7 @@ CERTAIN, ROUNDS = 0.95, 12
 # Fixed by the contract: the base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # matches wherever it begins, so no text takes more than one pass
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -57,6 +57,8 @@ def base_spans(text: str) -> list[Span]:
             end = m.end()
         at = text.find("@", max(at + 1, end))
     for m in _DOTTED.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
         parts = m.group().split(".")
         pos = m.start()
         for i in range(0, len(parts) - 3, 4):
