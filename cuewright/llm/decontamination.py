@@ -27,18 +27,35 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORDS.findall(text.lower().encode("utf-8", "replace")) if text else []
 
 
+class _WordHashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_hash = _WordHashes()
+#: Odd multipliers: one for each word of a shingle, by its place, and two of a bit mixer.
+_PLACES = np.array([2 * xxhash.xxh64_intdigest(bytes([i])) + 1 & (1 << 64) - 1 for i in range(SHINGLE + 2)], np.uint64)
+
+
 def hashes_of(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """XXH64 of each shingle of ``width`` words; of the whole sequence where it is shorter."""
+    """64-bit hash of each shingle of ``width`` words; of the whole sequence where it is shorter."""
     if not words:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(words))
     n = len(words) - width + 1
-    return np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out += h[i : i + n] * _PLACES[i]
+    for m in _PLACES[SHINGLE:]:
+        out ^= out >> np.uint64(31)
+        out *= m
+    return out ^ (out >> np.uint64(29))
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -73,6 +90,10 @@ class Index:
         self.known = np.unique(np.concatenate([*self.hashes, np.empty(0, np.uint64)]))
         self.lengths = np.array(self.words, np.int64)
         self.sizes = sorted(set(self.words))
+        #: By size and known shingle: does an item of that size hold it?
+        self.holds = {size: np.zeros(len(self.known), bool) for size in self.sizes}
+        for h, size in zip(self.hashes, self.words):
+            self.holds[size][np.searchsorted(self.known, h)] = True
         self.fps = np.array([_packed((2 * _bits(h).sum(0, dtype=np.int64) > len(h))[None])[0] for h in self.hashes], np.uint64)
         near = np.array([sum(1 << i for i in c) for k in range(HAMMING // _BLOCKS + 1) for c in combinations(range(_WIDTH), k)], np.int64)
         self.keys, self.rows = [], []
@@ -104,34 +125,34 @@ class Index:
     def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """Best window of each contained item: (item, similarity, first word, words)."""
         words = words_of(text)
-        hashes = hashes_of(words)
-        if not len(hashes) or not len(self.known):
-            return []
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        # a window that shares no shingle with the benchmark has similarity 0 to every item
-        shared = np.concatenate([[0], np.cumsum(self.known[at] == hashes)])
-        if not shared[-1]:
-            return []
         best: dict[int, tuple[float, int, int]] = {}
-        for begin in range(0, len(hashes), _SPAN):
-            reach = min(len(hashes), begin + _SPAN + max(self.sizes))
-            if shared[reach] == shared[begin]:
-                continue
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes[begin:reach]), axis=0, dtype=np.int32)])
-            for size in self.sizes:
-                window = min(size, len(words))
-                n = max(1, window - SHINGLE + 1)
-                first = np.arange(begin, min(begin + _SPAN, len(hashes) - n + 1))
-                first = first[shared[first + n] > shared[first]]
-                if not len(first):
-                    continue
-                fps = _packed(2 * (sums[first - begin + n] - sums[first - begin]) > n)
+        if words and len(self.known):
+            for width in sorted({min(s, SHINGLE) for s in self.sizes}):
+                sizes = [s for s in self.sizes if min(s, SHINGLE) == width]
+                self._search(words, hashes_of(words, width), width, sizes, best)
+        return [(self.ids[i], *best[i]) for i in sorted(best)]
+
+    def _search(self, words: list[bytes], hashes: np.ndarray, width: int, sizes: list[int], best: dict[int, tuple[float, int, int]]) -> None:
+        """Adds the best windows of all items of the given sizes, whose shingles have ``width`` words."""
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        hits = np.flatnonzero(self.known[at] == hashes)
+        for size in sizes if len(hits) else ():
+            window = min(size, len(words))
+            n = max(1, window - width + 1)
+            # a window without a shingle of an item has similarity 0 to it, so the others are enough
+            mine = hits[self.holds[size][at[hits]]]
+            first = np.unique((mine[:, None] - np.arange(n)).ravel())
+            first = first[(first >= 0) & (first <= len(hashes) - n)]
+            while len(first):
+                part, first = np.split(first, [np.searchsorted(first, first[0] + _SPAN)])
+                begin = part[0]
+                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes[begin : part[-1] + n]), axis=0, dtype=np.int32)])
+                fps = _packed(2 * (sums[part - begin + n] - sums[part - begin]) > n)
                 for w, i in zip(*self.candidates(fps, size)):
-                    s = int(first[w])
+                    s = int(part[w])
                     sim = weighted_jaccard(hashes[s : s + n], self.hashes[i])
                     if sim >= SIMILARITY and (i not in best or (sim, -s) > (best[i][0], -best[i][1])):
                         best[i] = (sim, s, window)
-        return [(self.ids[i], *best[i]) for i in sorted(best)]
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str | None]]]:
