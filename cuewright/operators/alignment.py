@@ -300,12 +300,14 @@ def drop_overlapped(captions: DataFrame, min_block: float = 0.45, max_cps: float
     return alone.unionByName(both.filter("_c > 1").groupBy(*key, "block").applyInPandas(collapse, schema))
 
 
-def drop_block_duplicates(words: DataFrame, limits: Sequence[float], near: float = 0.08, layout: Layout = Layout(("media_id",), ("seq",))) -> DataFrame:
-    """Words repeated where two recognition blocks meet: the same word, or the same pair, twice."""
+def drop_block_duplicates(words: DataFrame, every: float = 600.0, near: float = 0.08, layout: Layout = Layout(("media_id",), ("seq",))) -> DataFrame:
+    """Words repeated where two recognition blocks of ``every`` seconds meet: the same word, or the same
+    pair, twice."""
     w = words.withColumn("_k", trim_punct("word"))
     one = neighbours(w, layout, lag={"_p1": "_k"}, lead={"_n1": "_k"})
     two = neighbours(one, layout, lag={"_p2": "_p1"})
-    edge = F.exists(F.array(*[F.lit(float(x)) for x in limits]), lambda b: F.abs(F.col("s") - b) < near)
+    meet = F.round(F.col("s") / every)
+    edge = (meet >= 1) & (F.abs(F.col("s") - meet * every) < near)
     same = edge & F.coalesce(F.col("_k") == F.col("_p1"), F.lit(False))
     pair = edge & ~same & F.coalesce((F.col("_k") == F.col("_p2")) & (F.col("_n1") == F.col("_p1")), F.lit(False))
     marked = two.withColumn("_same", same).withColumn("_pair", pair)

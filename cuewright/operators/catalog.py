@@ -11,7 +11,7 @@ from cuewright import constants as K
 from cuewright.functions.paths import classify_path, extension, guess_type, stem
 from cuewright.functions.text import slug, tag_cost
 from cuewright.operators.salting import attach
-from cuewright.operators.slices import Layout, neighbours, position
+from cuewright.operators.slices import Layout, neighbours, position, running
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
@@ -93,10 +93,8 @@ def merge_assets(assets: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Dat
     new = tagged.join(assets.select("qhash"), "qhash", "left_anti")
     named = new.withColumn("path", F.col("_first")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     named = named.withColumn("type", guess_type("path")).withColumn("_base", base_id())
-    taken = assets.select(base_id().alias("_base")).groupBy("_base").agg(F.count("*").alias("_taken"))
-    spread = attach(named, taken, ["_base"]).withColumn("_h", F.pmod(F.xxhash64("qhash"), F.lit(1 << 20)))
-    ranked = position(spread, Layout(("_base",), ("_h", "qhash"), 1 << 10), "_i")
-    index = F.coalesce("_taken", F.lit(0)) + F.col("_i") + 1
+    ranked = _free_numbers(named, assets)
+    index = F.col("_index")
     made = ranked.select(
         F.when(index == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", index)).alias("id"),
         "name", "type", "qhash", "path", F.col("_tags").alias("tags"), F.array_join("_notes", " | ").alias("note"),
@@ -107,6 +105,29 @@ def merge_assets(assets: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Dat
     return catalog, seen.select("id", "path")
 
 
+def _free_numbers(named: DataFrame, assets: DataFrame) -> DataFrame:
+    """Numbers (``_index``) for new items with the same ``_base``: 1 stands for the base itself, k for
+    base-k; numbers that catalogued ids use are passed over.
+
+    A used number u with r used ones below it has u - 1 - r free numbers in front, so the new item
+    of rank i comes behind it if that is at most i. Used numbers and new items are merged in that
+    order, and a running count of the used ones gives each item its number.
+    """
+    number = F.regexp_extract("id", "-([2-9]|[1-9][0-9]{1,8})$", 1)
+    used = assets.select(F.col("id").alias("_base"), F.lit(1).cast("bigint").alias("_u")).unionByName(
+        assets.filter(number != "").select(F.regexp_extract("id", "^(.*)-[0-9]+$", 1).alias("_base"), number.cast("bigint").alias("_u"))
+    ).distinct()
+    used = used.join(named.select("_base").distinct(), "_base", "left_semi")
+    below = position(used, Layout(("_base",), ("_u",), 1 << 10), "_r")
+    spread = named.withColumn("_h", F.pmod(F.xxhash64("qhash"), F.lit(1 << 20)))
+    ranked = position(spread, Layout(("_base",), ("_h", "qhash"), 1 << 10), "_i").withColumnRenamed("_i", "_at").withColumn("_used", F.lit(0))
+    marks = below.select("_base", (F.col("_u") - 1 - F.col("_r")).alias("_at"), F.lit(1).alias("_used"))
+    merged = marks.unionByName(ranked, allowMissingColumns=True)
+    merged = merged.withColumn("_item", 1 - F.col("_used"))
+    counted = running(merged, Layout(("_base",), ("_at", "_item"), 1 << 10), {"_before": ("sum", "_used")})
+    return counted.filter("_used = 0").withColumn("_index", F.col("_at") + 1 + F.coalesce("_before", F.lit(0)))
+
+
 def audit_layout(files: DataFrame, staging: bool = False) -> DataFrame:
     """Project layout findings: missing folders, loose items, unstable names and, in a shared
     drive, video that must not be there. ``files(root, path)``, paths relative to the root."""

@@ -64,10 +64,11 @@ def rank_posts(posts: DataFrame, metric: str, n: int = 5, floor: int = 500, asc:
 
 
 def cadence(posts: DataFrame, formats: Sequence[str], key: Sequence[str] = ("platform",)) -> DataFrame:
-    """Posts per ISO week and format."""
+    """Posts per ISO year, ISO week and format."""
+    year = F.extract(F.lit("YEAROFWEEK"), F.col("published_at")).alias("iso_year")
     week = F.weekofyear("published_at").alias("week")
     counts = [F.count_if(F.col("format") == f).alias(f) for f in formats]
-    return posts.groupBy(*key, week).agg(*counts)
+    return posts.groupBy(*key, year, week).agg(*counts)
 
 
 def evolution(metrics: DataFrame, months: Sequence[str], order: Sequence[str] = (), key: Sequence[str] = ("client",)) -> DataFrame:
@@ -84,7 +85,7 @@ def patterns(posts: DataFrame, dims: Sequence[str], measure: str, account: Seque
     """Is a trait consistently above the account median (three posts in two weeks) or isolated?"""
     mid = quantiles(posts, account, {"_mid": (measure, 0.5)})
     above = posts.join(mid, list(account)).filter(F.col(measure) > F.col("_mid"))
-    weekly = above.groupBy(*account, *dims, F.year("published_at").alias("_y"), F.weekofyear("published_at").alias("_w")).agg(F.count("*").alias("_n"))
+    weekly = above.groupBy(*account, *dims, F.date_trunc("week", "published_at").alias("_w")).agg(F.count("*").alias("_n"))
     total = weekly.groupBy(*account, *dims).agg(F.sum("_n").alias("posts"), F.count("*").alias("weeks"))
     steady = (F.col("posts") >= 3) & (F.col("weeks") >= 2)
     return total.withColumn("pattern", F.when(steady, "consistent").otherwise("isolated"))

@@ -36,9 +36,10 @@ def word(spark, d) -> DataFrame:
 
 def keep(spark, d) -> DataFrame:
     a = F.col("k") * F.lit(12.0) + F.col("doc_id") % 3
+    last = F.floor((F.size(F.split("text", "[ \n\t\r]+")) - 1) / 30)  # 30 words last 12 seconds
     return (
         table(spark, d, "documents")
-        .select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+        .select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))
         .select(F.col("doc_id").alias("media_id"), a.alias("s"), (a + 8).alias("e"))
     )
 
@@ -230,7 +231,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
            from conversations)))"""),
     "keep": ((), """
       keep as (select doc_id as media_id, k*12.0::double+doc_id%3 as s, k*12.0::double+doc_id%3+8 as e
-        from documents, (select unnest(range(5)) as k))"""),
+        from (select doc_id, unnest(range((len(string_split_regex(text,'[ \n\t\r]+'))-1)//30+1)) as k from documents))"""),
     "caption": ((), """
       caption as (select conv_id as clip_id, turn as seq, cast(turn*10 as double) as s,
           turn*10+length(text)/cast(20+10*(turn%4) as double) as e, text from conversations)"""),

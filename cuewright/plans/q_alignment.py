@@ -56,7 +56,7 @@ def jn16(spark, d):
 @query("jn17_superseded_takes")
 def jn17(spark, d):
     caps = B.caption(spark, d)
-    again = caps.select("clip_id", (F.col("s") + 5).alias("s"), (F.col("e") + 5).alias("e"), F.substring("text", 4, 10_000).alias("text")).filter("clip_id % 2 = 0")
+    again = caps.select("clip_id", (F.col("s") + 5).alias("s"), (F.col("e") + 5).alias("e"), F.expr("substring(text, 4)").alias("text")).filter("clip_id % 2 = 0")
     return al.superseded_takes(caps.select("clip_id", "s", "e", "text").unionByName(again).withColumnRenamed("clip_id", "media_id"))
 
 
@@ -104,18 +104,17 @@ def jn30(spark, d):
     return al.locate(pairs, q, lv).withColumn("score", F.round("score", 6))
 
 
-@query("jn32_other_voice", with_("level keep", """, sim as (select media_id, frame, (db+60)/50 as sim from level), sp as (select media_id, s+1 as s, e-1 as e from keep),
+@query("jn32_other_voice", with_("level keep word", """, sim as (select media_id, frame, (db+60)/50 as sim from level), sp as (select media_id, s+1 as s, e-1 as e from keep),
     g as (select *, frame-row_number() over (partition by media_id order by frame) as run from sim where sim<0.5::double),
     lo as (select media_id, min(frame) as f0, round(min(frame)*0.1::double,3) as s, round((max(frame)+1)*0.1::double,3) as e, avg(sim) as sim from g group by media_id, run having count(*)>=2),
     k as (select lo.* from lo where round((select sum(least(lo.e,p.e)-greatest(lo.s,p.s)) from keep p where p.media_id=lo.media_id and p.s<lo.e and p.e>lo.s),6)>0.03::double),
     c as (select k.*, coalesce((select sum(least(k.e,p.e)-greatest(k.s,p.s)) from sp p where p.media_id=k.media_id and p.s<k.e and p.e>k.s),0) as cov from k)
-    select media_id, s, e, round(sim,6) as sim, '' as text from c where round(cov/greatest(e-s,1e-3::double),6)>=0.5::double"""))
+    select media_id, s, e, round(sim,6) as sim, coalesce((select string_agg(w.word,' ' order by w.seq) from word w where w.media_id=c.media_id and w.s<c.e and w.e>c.s),'') as text from c where round(cov/greatest(e-s,1e-3::double),6)>=0.5::double"""))
 def jn32(spark, d):
     sim = B.level(spark, d).select("media_id", "frame", ((F.col("db") + 60) / 50).alias("sim"))
     keep = B.keep(spark, d)
     speech = keep.select("media_id", (F.col("s") + 1).alias("s"), (F.col("e") - F.lit(1)).alias("e"))
-    nothing = B.word(spark, d).filter("media_id < 0")
-    return al.other_voice(sim, speech, keep, nothing, below=0.5)
+    return al.other_voice(sim, speech, keep, B.word(spark, d), below=0.5)
 
 
 @query("jn33_drop_overlapped")
@@ -128,11 +127,11 @@ def jn33(spark, d):
 _TRIM = "trim(lower(word),'.,;:!?')"
 
 
-@query("win9_drop_block_duplicates", with_("word", f""", k as (select *, {_TRIM} as k from word), l as (select *, lag(k,1) over w as p1, lag(k,2) over w as p2, lead(k) over w as n1, abs(s-60)<8 or abs(s-120)<8 as edge from k window w as (partition by media_id order by seq)),
+@query("win9_drop_block_duplicates", with_("word", f""", k as (select *, {_TRIM} as k from word), l as (select *, lag(k,1) over w as p1, lag(k,2) over w as p2, lead(k) over w as n1, round(s/60)>=1 and abs(s-round(s/60)*60)<8 as edge from k window w as (partition by media_id order by seq)),
     m as (select *, edge and coalesce(k=p1,false) as same from l), p as (select *, edge and not same and coalesce(k=p2 and n1=p1,false) as pair from m),
     q as (select *, coalesce(lag(pair) over (partition by media_id order by seq),false) as pp from p) select media_id, seq from q where not same and not pair and not pp"""))
 def win9(spark, d):
-    return al.drop_block_duplicates(B.word(spark, d), (60.0, 120.0), near=8.0).select("media_id", "seq")
+    return al.drop_block_duplicates(B.word(spark, d), 60.0, near=8.0).select("media_id", "seq")
 
 
 @query("win10_repair_zero_time", with_("turn_word", """, z as (select clip_id as media_id, seq, word, case when seq%5<3 then round((seq//5)*2.0::double,3) else s end as s, e from turn_word),

@@ -236,7 +236,7 @@ def top5(spark, d):
     return ev.tail_feedback(B.feedback(spark, d), 20, "error").select("event_id", "client", "text")
 
 
-@query("top8_pick_quota", """with c as (select o_custkey%60 as episode, case when o_orderstatus='F' then 'host' when o_orderstatus='O' then 'guest' else 'other' end as speaker, o_orderkey as cand_id, o_totalprice as score from orders where o_custkey%60<30 or o_orderkey%9=0),
+@query("top8_pick_quota", """with c as (select o_custkey%60 as episode, case when o_orderstatus='F' then 'host' when o_orderstatus='O' then 'guest' else 'other' end as speaker, o_orderkey as cand_id, o_totalprice as score from orders),
     n as (select episode, count(*) filter (speaker='host') as a, count(*) filter (speaker='guest') as b from c group by 1),
     q as (select episode, case when a>=4 and b>=2 then 4 when a>=3 and b>=3 then 3 when a>=2 and b>=4 then 2 end as qa, case when a>=4 and b>=2 then 2 when a>=3 and b>=3 then 3 when a>=2 and b>=4 then 4 end as qb from n),
     r as (select *, row_number() over (partition by episode, speaker order by score desc, cand_id) as rank from c)
@@ -246,7 +246,7 @@ def top8(spark, d):
     cand = table(spark, d, "orders").select(
         (F.col("o_custkey") % 60).alias("episode"), F.when(status == "F", "host").when(status == "O", "guest").otherwise("other").alias("speaker"),
         F.col("o_orderkey").alias("cand_id"), F.col("o_totalprice").alias("score"),
-    ).filter("episode < 30 or cand_id % 9 = 0")
+    )
     return ev.pick_quota(cand, [(4, 2), (3, 3), (2, 4)], "host", "guest").select("episode", "speaker", "cand_id", "rank")
 
 

@@ -311,12 +311,12 @@ def top2(spark, d):
     return fr.spaced_topk(f, "sc", "t_ms", 20000, 5).select("media_id", "t_ms", "pick")
 
 
-@query("top3_spaced_events", _rec("interval", """, c as (select distinct media_id, s as t from "interval" where kind<>'view'),
+@query("top3_spaced_events", _rec("interval", """, c as (select distinct media_id, s as t from "interval"),
     nx as (select a.media_id, a.t, min(b.t) as nxt from c a left join c b on b.media_id=a.media_id and b.t>=a.t+5000 group by 1,2),
     ch as (select media_id, min(t) as t, 0 as pick from c group by 1 union all select ch.media_id, nx.nxt, ch.pick+1 from ch join nx using (media_id, t) where nx.nxt is not null and ch.pick<6)
     select media_id, t, pick from ch where pick<6"""))
 def top3(spark, d):
-    ev = B.interval(spark, d).filter("kind <> 'view'").select("media_id", F.col("s").alias("t")).distinct()
+    ev = B.interval(spark, d).select("media_id", F.col("s").alias("t")).distinct()
     return fr.spaced_events(ev, "t", 5000.0, 6)
 
 

@@ -41,25 +41,25 @@ def top1(spark, d):
     return ranked.select("platform", "post_id", "engagement", "rank")
 
 
-@query("ag6_cadence", with_("post", """select platform, weekofyear(published_at) as week, count(*) filter (format='F') as "F", count(*) filter (format='O') as "O",
-    count(*) filter (format='P') as "P" from post group by 1,2"""))
+@query("ag6_cadence", with_("post", """select platform, cast(isoyear(published_at) as int) as iso_year, weekofyear(published_at) as week, count(*) filter (format='F') as "F", count(*) filter (format='O') as "O",
+    count(*) filter (format='P') as "P" from post group by 1,2,3"""))
 def ag6(spark, d):
     return so.cadence(B.post(spark, d), ["F", "O", "P"])
 
 
-_MONTHS = [f"1996-{m:02d}" for m in range(1, 13)]
-_ROWS = ["5-LOW", "1-URGENT", "2-HIGH"]
+_MONTHS = [f"{y}-{m:02d}" for y in range(1992, 1999) for m in range(1, 13)]
+_ROWS = ["5-LOW", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 
 
-@query("ag7_evolution", with_("account_metric", "select client, metric, list_position(['5-LOW','1-URGENT','2-HIGH'],metric) as row, "
+@query("ag7_evolution", with_("account_metric", "select client, metric, list_position(['5-LOW','1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED'],metric) as row, "
        + ", ".join(f"max(value) filter (month='{m}') as \"{m}\"" for m in _MONTHS)
-       + " from account_metric where month like '1996-%' and metric in ('5-LOW','1-URGENT','2-HIGH') group by 1,2,3"))
+       + " from account_metric group by 1,2,3"))
 def ag7(spark, d):
     return so.evolution(B.account_metric(spark, d), _MONTHS, _ROWS)
 
 
 @query("ag8_patterns", with_("post", _RATES + """, m as (select platform, quantile_cont(engagement,0.5) as mid from rates group by 1),
-    w as (select r.platform, format, likes%5 as style, year(published_at) as y, weekofyear(published_at) as w, count(*) as n from rates r join m using (platform) where engagement>mid group by 1,2,3,4,5),
+    w as (select r.platform, format, likes%5 as style, date_trunc('week',published_at) as w, count(*) as n from rates r join m using (platform) where engagement>mid group by 1,2,3,4),
     t as (select platform, format, style, cast(sum(n) as bigint) as posts, count(*) as weeks from w group by 1,2,3)
     select platform, format, style, posts, weeks, case when posts>=3 and weeks>=2 then 'consistent' else 'isolated' end as pattern from t"""))
 def ag8(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright import constants as K
 from cuewright.functions.signal import to_db
+from cuewright.operators.slices import Layout, running
 
 HEAD_BYTES = 4 << 20
 
@@ -42,20 +43,24 @@ def quick_hash(content: str, size: str):
 def level_frames(pcm: DataFrame, hop: int, hop_ms: int | None = None) -> DataFrame:
     """Signal chunks ``pcm(media_id, chunk, samples)`` to one level per ``hop`` samples.
 
-    Chunk lengths are equal and a multiple of the hop, so each row yields its own frames and
-    nothing is shuffled.
+    Chunks may have any length, and a frame may lie across several: each chunk knows how many samples
+    came before it, yields its part of every frame it touches, and the parts are added up. Samples
+    after the last whole frame of a recording make no frame.
     """
+    sized = running(pcm.withColumn("_n", F.size("samples")).filter("_n > 0"), Layout(("media_id",), ("chunk",), 1 << 12), {"_to": ("sum", "_n")})
+    start = F.col("_to") - F.col("_n")
     scaled = F.transform("samples", lambda x: x.cast("double") / F.lit(32768.0))
-    count = F.floor(F.size("samples") / hop).cast("int")
     square = lambda acc, x: acc + x * x
-    means = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda k: F.aggregate(F.slice("_x", k * hop + 1, F.lit(hop)), F.lit(0.0), square) / hop,
-    )
-    rows = pcm.filter(count > 0).withColumn("_x", scaled).select("media_id", "chunk", count.alias("_n"), F.posexplode(means).alias("k", "ms"))
-    out = rows.select(
-        "media_id", (F.col("chunk") * F.col("_n") + F.col("k")).cast("bigint").alias("frame"), to_db("ms").alias("db")
-    )
+    touched = F.sequence(F.floor(start / hop).cast("bigint"), F.floor((F.col("_to") - 1) / hop).cast("bigint"))
+
+    def part(f):
+        low = F.greatest(f * hop, start)
+        n = F.least((f + 1) * hop, F.col("_to")) - low
+        return F.struct(f.alias("frame"), n.alias("n"), F.aggregate(F.slice("_x", (low - start + 1).cast("int"), n.cast("int")), F.lit(0.0), square).alias("sum"))
+
+    parts = sized.withColumn("_x", scaled).select("media_id", F.explode(F.transform(touched, part)).alias("p")).select("media_id", "p.*")
+    whole = parts.groupBy("media_id", "frame").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).filter(F.col("n") == hop)
+    out = whole.select("media_id", "frame", to_db(F.col("sum") / hop).alias("db"))
     return out if hop_ms is None else out.withColumn("hop_ms", F.lit(hop_ms))
 
 

@@ -1,6 +1,7 @@
 """Rules on hand-made rows, brute-force comparisons, and entities that span many slices."""
 
 import difflib
+import math
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from cuewright.operators import frames as fr
 from cuewright.operators import gates
 from cuewright.operators import intervals as iv
 from cuewright.operators import segmentation as sg
+from cuewright.operators import social as so
 from cuewright.operators.greedy import blocks, chain
 from cuewright.operators.quantiles import quantiles
 from cuewright.operators.slices import Layout, lags, neighbours, position, running, top_rows
@@ -147,29 +149,6 @@ def test_caption_gate_edges(spark):
     }
 
 
-def brute_merge(atoms, n, gap, span):
-    import re
-
-    out = []
-    for s, e, t in sorted(atoms):
-        if out:
-            p = out[-1]
-            joined = re.sub(r"\s+([,.?!])", r"\1", (p[2] + " " + t).replace("  ", " ").strip())
-            if len(joined) <= n and s - p[1] < gap and e - p[0] < span:
-                p[1], p[2] = e, joined
-                continue
-        out.append([s, e, t])
-    i = 1
-    while i < len(out):
-        a, b = out[i - 1], out[i]
-        if len(b[2]) <= 4 and a[1] - a[0] < 2.6 and len(a[2] + " " + b[2]) <= n:
-            a[1], a[2] = b[1], (a[2] + " " + b[2]).strip()
-            del out[i]
-        else:
-            i += 1
-    return [tuple(x) for x in out]
-
-
 def random_words(n, seed):
     rng = random.Random(seed)
     t, out = 0.0, []
@@ -185,7 +164,16 @@ def test_merge_captions_against_brute_force(spark):
     atoms = random_words(300, 2)
     df = spark.createDataFrame([("c", *a) for a in atoms], "clip_id string, s double, e double, text string")
     got = [(r["s"], r["e"], r["text"]) for r in sg.merge_captions(df, chunk=32).orderBy("seq").collect()]
-    assert got == brute_merge(atoms, 18, 0.30, 2.2)
+    bare = lambda t: t.replace(" ", "")
+    assert bare("".join(t for *_, t in got)) == bare("".join(t for *_, t in atoms))  # nothing lost, order kept
+    starts, ends = {s: i for i, (s, _, _) in enumerate(atoms)}, {e: i for i, (_, e, _) in enumerate(atoms)}
+    assert [starts[s] for s, _, _ in got] == [0, *(ends[e] + 1 for _, e, _ in got[:-1])]  # blocks of whole atoms, side by side
+    assert all(len(t) <= max(18, len(t.split()[0])) for *_, t in got)
+    for (s, e, t), (s2, e2, t2) in zip(got, got[1:]):  # the next word did not fit, came late, or would have taken too long
+        first = atoms[starts[s2]]
+        assert len(t + " " + first[2]) > 18 or s2 - atoms[ends[e]][1] >= 0.30 or first[1] - s >= 2.2 or e - s >= 2.2
+    small = [(r["s"], r["e"], r["text"]) for r in sg.merge_captions(df, chunk=7).orderBy("seq").collect()]
+    assert small == got
 
 
 def test_rhythm_loses_no_text(spark):
@@ -196,6 +184,27 @@ def test_rhythm_loses_no_text(spark):
     assert all(a["e"] <= b["s"] + 1e-9 for a, b in zip(out, out[1:]))
 
 
+def test_rhythm_keeps_short_captions_after_silence(spark):
+    rows = [("c", 0.0, 1.0, "oi", 20.0), ("c", 8.0, 8.1, "sim", 20.0), ("c", 8.1, 9.6, "x" * 30, 20.0), ("d", 0.0, 0.05, "a", 0.05), ("e", 1.0, 1.04, "b", 9.0), ("e", 1.04, 3.0, "y" * 29, 9.0)]
+    df = spark.createDataFrame(rows, "clip_id string, s double, e double, text string, total double")
+    out = {(r["clip_id"], w) for r in sg.caption_rhythm(df).collect() for w in r["text"].split()}
+    assert out == {(r[0], r[3]) for r in rows}
+
+
+def test_rhythm_in_stretches_equals_the_whole_clip(spark):
+    rng = random.Random(12)
+    rows = []
+    for clip in range(6):
+        t = 0.0
+        for _ in range(80):
+            d = rng.choice((0.05, 0.2, 0.5, 1.5, 2.5))
+            rows.append((f"c{clip}", round(t, 3), round(t + d, 3), "x" * rng.choice((0, 1, 4, 12, 28, 31, 44)), 1000.0))
+            t += d + rng.choice((0.0, 0.0, 0.1, 1.6, 3.0, 9.0))
+    df = spark.createDataFrame(rows, "clip_id string, s double, e double, text string, total double")
+    cut, whole = ({(r["clip_id"], round(r["s"], 6), round(r["e"], 6), r["text"]) for r in sg.caption_rhythm(df, cut=c).collect()} for c in (True, False))
+    assert cut == whole
+
+
 def test_highlights_match_one_by_one_choice(spark):
     rng = random.Random(9)
     words = [(f"c{c}", b, b * 3 + k, rng.choice("alpha beta gamma delta omega kappa sigma".split()), round(rng.random() * 5, 2)) for c in range(2) for b in range(60) for k in range(3)]
@@ -333,3 +342,36 @@ def test_stream_caption_gate_runs_once_per_version(spark, tmp_path):
     q = st.caption_checks(st.read_stream(spark, str(src), st.CAPTION_ROWS, 1), lambda df, n: found.extend(df.collect()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r["code"] for r in found) == ["block_long", "cps_excessive", "too_short"]
+
+
+def test_patterns_count_iso_weeks(spark):
+    days = ["2024-01-02", "2024-12-30", "2024-12-31"]
+    rows = [("p", d, "F", 10.0) for d in days] + [("p", "2024-06-01", "O", 1.0)] * 4
+    posts = spark.createDataFrame(rows, "platform string, d string, format string, x double").withColumn("published_at", F.to_date("d"))
+    got = {r["format"]: r for r in so.patterns(posts, ["format"], "x").collect()}
+    assert (got["F"]["posts"], got["F"]["weeks"], got["F"]["pattern"]) == (3, 2, "consistent")
+    assert so.cadence(posts, ["F"]).filter("iso_year = 2025 and week = 1 and F = 2").count() == 1
+
+
+def test_level_frames_across_chunks(spark):
+    from cuewright.sources import files
+
+    samples = [((i * 37) % 101 - 50) * 100 for i in range(95)]
+    chunks, at = [], 0
+    for c, n in enumerate((40, 3, 0, 37, 15)):
+        chunks.append(("m", c, samples[at : at + n]))
+        at += n
+    got = {r["frame"]: r["db"] for r in files.level_frames(spark.createDataFrame(chunks, "media_id string, chunk long, samples array<int>"), hop=10).collect()}
+    assert sorted(got) == list(range(9))
+    for f, db in got.items():
+        ms = sum((x / 32768) ** 2 for x in samples[f * 10 : f * 10 + 10]) / 10
+        assert abs(db - 20 * math.log10(math.sqrt(ms) + 1e-9)) < 1e-9
+
+
+def test_new_assets_take_free_ids(spark):
+    from cuewright.operators import catalog as ca
+
+    old = spark.createDataFrame([("video-a-2", "x.mp4", "video", "h0", "x.mp4", ["t"], "")], "id string, name string, type string, qhash string, path string, tags array<string>, note string")
+    new = spark.createDataFrame([(f"h{i}", f"d{i}/a.mp4", ["t"], "") for i in range(1, 5)], "qhash string, path string, tags array<string>, note string")
+    got = sorted(r["id"] for r in ca.merge_assets(old, new)[0].collect())
+    assert got == ["video-a", "video-a-2", "video-a-3", "video-a-4", "video-a-5"]
