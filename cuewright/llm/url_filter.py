@@ -94,7 +94,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: i
     quarters are counted, the last quarter calibrates. The score is the sum of log-likelihood
     differences by characters; the threshold is where the held-out allowed and blocked scores, as
     two normal curves, leave the same share on their wrong side. Other URLs are allowed at or above it.
-    Without ruled URLs of both kinds there is nothing to tell apart, and the rest is allowed.
+    Where either kind is missing among the held-out URLs, the threshold is 0: the likelier model decides.
     """
     urls = pages.select(F.coalesce(F.col(url_col), F.lit("")).alias("_url")).distinct()
     urls = urls.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
@@ -111,9 +111,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: i
     held = judged.filter(kept_out & F.col("_said").isNotNull())
     a, r = (F.when(F.col("_said") == v, F.col("score")) for v in ("allow", "block"))
     cal = held.agg(F.avg(a).alias("ma"), F.avg(r).alias("mr"), (F.coalesce(F.stddev_pop(a), F.lit(0.0)) + 1e-6).alias("sa"), (F.coalesce(F.stddev_pop(r), F.lit(0.0)) + 1e-6).alias("sr"))
-    cal = cal.select(((F.col("ma") * F.col("sr") + F.col("mr") * F.col("sa")) / (F.col("sa") + F.col("sr"))).alias("threshold"))
+    cal = cal.select(F.coalesce((F.col("ma") * F.col("sr") + F.col("mr") * F.col("sa")) / (F.col("sa") + F.col("sr")), F.lit(0.0)).alias("threshold"))
     judged = judged.crossJoin(F.broadcast(cal))  # one row
-    found = F.when(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")), F.lit("allow")).otherwise(F.lit("block"))
+    found = F.when(F.col("score") >= F.col("threshold"), F.lit("allow")).otherwise(F.lit("block"))
     return judged.withColumn("verdict", F.coalesce("_said", found)).drop("_said")
 
 

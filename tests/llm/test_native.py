@@ -196,8 +196,9 @@ def test_url_rules(spark):
 def test_url_model_against_plain_version(spark):
     import hashlib
 
-    order, rows = 5, op7_url_filter(spark, SF).collect()
-    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    sf = "/root/testdata/sf0.01"
+    order, rows = 5, op7_url_filter(spark, sf).collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     counts = {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
     text, held, said = {}, {}, {}
     for u in set(urls.values()):
