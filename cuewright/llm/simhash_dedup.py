@@ -88,7 +88,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """``node``, ``root`` (the smallest node reachable) for each node of the pairs ``a`` < ``b``.
+    """``node``, ``root`` (the smallest node reachable) for the nodes of the pairs ``a`` < ``b`` but the roots.
 
     Alternates large-star and small-star steps, which link every node to smaller ones until each
     component is a star; the number of rounds grows with the logarithm of its size. Each round is
