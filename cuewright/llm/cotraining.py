@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_
     total = max(1, docs.count())
     chosen = lean.filter(F.pmod(F.xxhash64("_id", F.lit("pool")), F.lit(1_000_000)) < int(min(1.0, POOL / total) * 1_000_000)).filter(~held_out(F.col("_id")))
     pool = chosen.join(said, "_id", "left_anti").withColumn("_y", F.lit(-1))
-    both = lean.join(known, "_id").unionByName(pool)
+    both = lean.join(F.broadcast(known), "_id").unionByName(pool)
     rows = map_rows(both, ["_t", "_s", "_l"], ["_id", "_y"], "a binary, b binary", _features).orderBy("_id").toLocalIterator()
     y, a, b = [], [], []
     for r in rows:

@@ -167,7 +167,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     lean = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     known = cut_lineage(labelled(docs, labels, label_col, train_rows, id_col))
-    counts = cut_lineage(token_counts(lean.join(known, "_id")))
+    # ``known`` has about ``train_rows`` rows at most, so its size is bounded and no text is shuffled for it
+    counts = cut_lineage(token_counts(lean.join(F.broadcast(known), "_id")))
     nt, nn = (int(v or 0) for v in counts.agg(F.sum("yt"), F.sum("yn")).first())
     rows: list[tuple[str, float, float]] = []
     rate = 1.0
@@ -182,7 +183,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         rate = decay([(r["s"], (r["n"] + 0.5) / whole) for r in bins])
     found = cut_lineage(map_rows(lean, ["_t"], ["_id"], "n_words bigint, segments array<struct<first:bigint,until:bigint,score:double>>", partial(_scan, lexicon=lexicon)))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    train = found.join(known, "_id").withColumn("_best", best)
+    train = found.join(F.broadcast(known), "_id").withColumn("_best", best)
     clean = train.filter("_y = 0").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_words") * F.exp(-rate * F.col("_best"))).alias("m")).first()
     scale = clean["n"] / clean["m"] if clean["m"] else 1.0
     chance = F.log(F.greatest(F.col("n_words"), F.lit(1)) * F.lit(scale))
