@@ -93,6 +93,16 @@ def permuted(x: Column, n: Column, key: Column, rounds: int = 4) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
 
 
+def sample_rows(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has no more), chosen by a hash of ``key``: the same
+    rows on every run, found by a filter. Twice the number is the hard bound."""
+    parts = 1 << 30
+    share = min(1.0, rows / max(1, df.count()))
+    if share < 1.0:
+        df = df.filter(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(parts)) < int(share * parts))
+    return df.limit(2 * rows)
+
+
 def map_rows(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], schema: str, fn: Callable[[list[list]], list[list]], chunk: int = 256) -> DataFrame:
     """Columns ``keep`` of ``df`` followed by those of ``schema``, which ``fn`` makes for each chunk of
     rows: lists of the input columns in, lists of the output columns out. Batches travel as Arrow."""

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import map_rows
+from cuewright.llm.common import map_rows, sample_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on at most, their longest text, and the hashed feature space.
@@ -356,13 +356,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per document: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base spans), ``base_sha256``,
     ``spans`` (base and added, kind:start:end in code points), ``n_added``.
 
-    The field is fitted on at most ``train_docs`` whole documents of up to ``TRAIN_CHARS`` characters
-    that hold a digit or an @ sign, the first by a hash of their text, with the base spans as
-    labels; then it labels every token of every document.
+    The field is fitted on about ``train_docs`` whole documents of up to ``TRAIN_CHARS`` characters
+    that hold a digit or an @ sign, chosen by hash, with the base spans as labels; then it labels
+    every token of every document.
     Null and empty texts have no spans; repeated rows are treated alike; an empty table gives none.
     """
-    marked = docs.select(F.col(text_col).alias("_t")).filter((F.length("_t") <= TRAIN_CHARS) & F.col("_t").rlike("[0-9@]"))
-    sample = marked.orderBy(F.xxhash64("_t"), "_t").limit(train_docs)
-    field = fit_field([r[0] for r in sample.toLocalIterator()])
+    marked = docs.select(F.col(text_col).alias("_t"), F.col(id_col).alias("_id")).filter((F.length("_t") <= TRAIN_CHARS) & F.col("_t").rlike("[0-9@]"))
+    sample = sample_rows(marked, ["_id", "_t"], train_docs).select("_t")
+    field = fit_field(sorted(r[0] for r in sample.toLocalIterator()))
     lean = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     return map_rows(lean, ["_t"], ["_id"], SCHEMA, partial(_scan, field=field)).withColumnRenamed("_id", id_col)
