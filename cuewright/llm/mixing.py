@@ -84,7 +84,7 @@ def shard_counts(layout: DataFrame, seed: str = "mix", out_shards: int = OUT_SHA
 
 
 def mix(rows: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """The mix of ``rows`` (any key columns, ``source``, ``size``, ``_order`` that tells rows apart).
+    """The mix of ``rows`` (any columns, ``source``, ``size``; ``_h1``, ``_h2`` tell different rows apart).
 
     First result: the rows with ``sid``, ``_rn`` (their number within the source), ``source_size``,
     ``target`` and ``taken`` (words the mix takes, repeats counted). Second: ``sid``, ``_rn``,
@@ -95,7 +95,7 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFra
     layout = cut_lineage(_blocks(targets, block))
     same = F.col("source").eqNullSafe(F.col("_s"))
     small = layout.select(F.col("source").alias("_s"), "sid", "source_size", "target", "block_words")
-    keyed = cut_lineage(numbered(rows, ["source"], ["_order", "size"], "size").join(small, same).drop("_s", "_order"))
+    keyed = cut_lineage(numbered(rows, ["source"], ["_h1", "_h2", "size"], "size").join(small, same).drop("_s"))
     b, start, end = F.col("block_words"), F.col("_off"), F.col("_off") + F.col("size")
     pieces = keyed.filter("size > 0").select("sid", "_rn", "_off", "size", "block_words", F.explode(F.sequence(F.floor(start / b).cast("long"), F.floor((end - 1) / b).cast("long"))).alias("block"))
     pieces = pieces.select("sid", "_rn", "block", "_off", (F.greatest(start, F.col("block") * b) - F.col("block") * b).alias("_from"), (F.least(end, (F.col("block") + 1) * b) - F.col("block") * b).alias("_to"), (F.col("block") * b).alias("_at"))
@@ -107,8 +107,17 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFra
     return out, ranges
 
 
+def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of hash over all columns: rows equal in both are taken for equal. Nulls, which a hash
+    skips, count by their places; maps are hashed as JSON."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    nulls = F.concat(*[F.when(p.isNull(), "1").otherwise("0") for p in parts])
+    return F.xxhash64(nulls, *parts), F.xxhash64(F.lit("again"), *parts, nulls)
+
+
 def _lean(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_order"))
+    one, two = row_hashes(docs)
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), one.alias("_h1"), two.alias("_h2"))
 
 
 def mix_counts(docs: DataFrame, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -124,20 +133,21 @@ def pieces_of(text: Column) -> Column:
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus itself, with the columns of ``docs``: a row for each document and epoch that
-    takes words of it, its text the words taken, in order (the text as it is where all are taken)."""
-    lean = cut_lineage(_lean(docs, id_col, text_col, source_col))
-    out, ranges = mix(lean, block, seed)
-    full = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_order"), word_count(F.col(text_col)).alias("size"))
-    full = numbered(full, ["source"], ["_order", "size"])
-    sids = out.groupBy("source").agg(F.first("sid").alias("sid")).withColumnRenamed("source", "_s")
-    full = full.join(sids, F.col("source").eqNullSafe(F.col("_s")))
+    takes words of it, its text the words taken, in order (the text as it is where all are taken).
+
+    The plan is made on rows without texts. Texts move once, by row hash; equal rows are one row
+    there, and each of them meets its own draws.
+    """
+    out, ranges = mix(cut_lineage(_lean(docs, id_col, text_col, source_col)), block, seed)
     spans = ranges.groupBy("sid", "_rn", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "until"))).alias("_spans"), F.sum(F.col("until") - F.col("first")).alias("_sum"))
-    parts = pieces_of(F.col("_text"))
+    spans = spans.join(out.select("sid", "_rn", "_h1", "_h2", "size"), ["sid", "_rn"]).drop("sid", "_rn")
+    one, two = row_hashes(docs)
+    full = docs.select(F.struct("*").alias("_doc"), one.alias("_h1"), two.alias("_h2")).dropDuplicates(["_h1", "_h2"])
+    both = full.join(spans, ["_h1", "_h2"])
+    text, part = F.col("_doc").getField(text_col), F.col("_sum") < F.col("size")
+    both = both.withColumn("_parts", F.when(part, pieces_of(text)))
     cut = F.array_join(F.transform("_spans", lambda s: F.array_join(F.slice("_parts", s["first"].cast("int") + 1, (s["until"] - s["first"]).cast("int")), "")), "")
-    both = full.join(spans, ["sid", "_rn"])
-    # the parts of a text without a word in front of its first blank start with that blank run: they still hold one word each
-    both = both.withColumn("_parts", F.when(F.col("_sum") < F.col("size"), parts))
-    both = both.withColumn("_new", F.when(F.col("_sum") < F.col("size"), cut).otherwise(F.col("_text")))
+    both = both.withColumn("_new", F.when(part, cut).otherwise(text))
     cols = []
     for c in docs.columns:
         if c == text_col:
