@@ -22,6 +22,8 @@ MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 0.1, 0.05, (2.0, 20.0)
 #: Hosts: below ``TRUSTED`` a host's rate excuses a document's own soft failures, at ``REJECTED`` the
 #: host goes as a whole.
 TRUSTED, REJECTED = 0.01, 0.6
+#: Verdicts of up to so many hosts are sent to all executors; those of more are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -87,6 +89,8 @@ def _decided(features: DataFrame, hosts: DataFrame) -> DataFrame:
     """Joins host verdicts back. A document that breaks a base rule goes; one of a rejected host goes;
     one that breaks a soft rule goes unless its host is trusted."""
     other = hosts.select(F.col("host").alias("_h"), F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict"))
+    if hosts.count() <= BROADCAST_HOSTS:  # ``hosts`` is a written table of one short row per host
+        other = F.broadcast(other)
     joined = features.join(other, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
     ok = (F.col("host_verdict") != "rejected") & (~soft_failed() | (F.col("host_verdict") == "trusted"))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ok)
@@ -100,7 +104,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     lean = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("host"), F.col(text_col).alias("_t"))
     features = cut_lineage(map_rows(lean, ["_t"], ["_id", "host"], FEATURES, _counts))
-    return _decided(features, host_verdicts(features)).withColumnRenamed("_id", id_col)
+    return _decided(features, cut_lineage(host_verdicts(features))).withColumnRenamed("_id", id_col)
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
