@@ -1,5 +1,10 @@
-import pandas as pd
-import pytest
+import os
+
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # many small products: threads only get in each other's way
+    os.environ.setdefault(name, "1")
+
+import pandas as pd  # noqa: E402
+import pytest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 

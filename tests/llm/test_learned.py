@@ -6,12 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cuewright.llm.cotraining import score_quality
 from cuewright.llm.html_blocks import blocks_of
-from cuewright.llm.html_extract import HIDDEN, Labeller, block_vectors, extract_text, made_page, train
+from cuewright.llm.html_extract import HIDDEN, Labeller, _extract, block_vectors, extract_text, made_page, train
 from cuewright.llm.queries import op4_toxicity, op8_cotraining, op10_html_extraction
 from cuewright.llm.toxicity import BACKGROUND, decay, score_toxicity, segments
 
@@ -108,8 +109,12 @@ def test_html_query_gives_the_articles(spark):
         assert got[i].n_chars == len(got[i].text)
 
 
-def test_html_other_layouts():
-    model = train([])
+@pytest.fixture(scope="module")
+def model():
+    return train([])
+
+
+def test_html_other_layouts(model):
     rng = random.Random(77)
     right = total = 0
     for _ in range(150):
@@ -152,9 +157,10 @@ def test_blocks():
     assert blocks_of("plain text")[0].text == "plain text"
 
 
-def test_html_odd_rows(spark):
-    rows = [(1, "u", None, 1), (None, None, "<article><p>Some text of an article.</p></article>", 2), (2, "u", "", 3), (3, None, "<" * 50_000, 4), (3, None, "<div>" * 20_000 + "x", 5)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
-    got = extract_text(pages).collect()
-    assert len(got) == 5 and all(r.text == "" and r.n_chars == 0 for r in got if r.page_id == 1)
-    assert extract_text(pages.limit(0)).count() == 0
+def test_html_odd_rows(spark, model):
+    pages = [None, "<article><p>Some text of an article.</p></article>", "", "<" * 50_000, "<div>" * 20_000 + "x"]
+    texts, lengths, _ = _extract([pages], model)
+    assert len(texts) == 5 and texts[0] == texts[2] == "" and lengths == [len(t) for t in texts]
+    assert texts[1] == "Some text of an article."
+    rows = [(None if i == 1 else i, None, p, 1) for i, p in enumerate(pages)]
+    assert extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").limit(0)).count() == 0
