@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import map_rows
+from cuewright.llm.common import map_rows, sample_rows
 from cuewright.llm.html_blocks import Block, blocks_of
 
 #: Hashed path and word dimensions, hidden units of each direction, pages in training.
@@ -322,14 +322,13 @@ def _extract(columns: list[list], model: Labeller) -> list[list]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, ``url``, ``text`` (main blocks in page order, one per line), ``n_chars``, ``n_blocks``.
 
-    The network is trained on the driver on made pages and at most ``SAMPLE_PAGES`` pages of up to
-    ``SAMPLE_CHARS`` characters, the first by a hash of their content, then labels every block of
-    every page. Null and empty pages, and pages without text, have an empty text; broken markup is read
+    The network is trained on the driver on made pages and about ``SAMPLE_PAGES`` pages of up to
+    ``SAMPLE_CHARS`` characters, chosen by hash, then labels every block of every page. Null and empty pages, and pages without text, have an empty text; broken markup is read
     as far as it goes; repeated rows are treated alike; an empty table gives no rows.
     """
     page = F.col(html_col)
-    sample = pages.filter((F.length(page) > 0) & (F.length(page) <= SAMPLE_CHARS)).select(page.alias("_p")).orderBy(F.xxhash64("_p"), "_p").limit(SAMPLE_PAGES)
-    model = train([r[0] for r in sample.toLocalIterator()])
+    fit = pages.filter((F.length(page) > 0) & (F.length(page) <= SAMPLE_CHARS)).select(page.alias("_p"), F.col(id_col).alias("_id"))
+    model = train(sorted(r[0] for r in sample_rows(fit, ["_id", "_p"], SAMPLE_PAGES).select("_p").toLocalIterator()))
     lean = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_u"), page.alias("_p"))
     out = map_rows(lean, ["_p"], ["_id", "_u"], "text string, n_chars bigint, n_blocks bigint", partial(_extract, model=model))
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_u", "url")
