@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuewright.operators import gates
 from cuewright.plans import bindings as B
 from cuewright.plans.bindings import with_
+from cuewright.plans.q_captions import QC_SQL
 from cuewright.plans.registry import query
 from cuewright.streaming import logs
 
@@ -25,3 +27,10 @@ def st1(spark, d):
 def st3(spark, d):
     hits = B.feedback(spark, d).filter(F.col("category") == "error")
     return logs.keyword_sessions(hits, "21599 seconds 999 milliseconds")
+
+
+@query("st2_caption_checks", QC_SQL + "select clip_id, seq, s, e, text, severity, code, duration, cps from finding")
+def st2(spark, d):
+    """Every clip arrives twice in the same version; the gate sees it once."""
+    once = B.caption(spark, d).withColumn("hash", F.md5(F.concat_ws("/", "clip_id", "s", "e", "text")))
+    return gates.caption_qc(logs.fresh_captions(once.unionByName(once)).drop("hash"))

@@ -39,14 +39,20 @@ def keyword_sessions(hits: DataFrame, gap: str, time: str = "ts", key: Sequence[
     ).select(*key, F.col("w.start").alias("first"), "last", "hits")
 
 
+def fresh_captions(captions: DataFrame, late: str = "7 days", time: str = "_at") -> DataFrame:
+    """Captions of clip versions (clip and content hash) that were not seen before: on a stream inside
+    the watermark, on a table at all."""
+    seen = ["clip_id", "hash", "seq"]
+    return captions.withWatermark(time, late).dropDuplicatesWithinWatermark(seen) if captions.isStreaming else captions.dropDuplicates(seen)
+
+
 def caption_checks(
     captions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, late: str = "7 days", arrived: Column | None = None,
 ) -> StreamingQuery:
     """Run the caption gate on arriving caption files. A clip version (clip and content hash) that
     was already seen inside the watermark is skipped; each batch goes through the batch operator."""
     stamp = F.current_timestamp() if arrived is None else arrived
-    rows = captions.withColumn("_at", stamp).withWatermark("_at", late)
-    fresh = rows.dropDuplicatesWithinWatermark(["clip_id", "hash", "seq"])
+    fresh = fresh_captions(captions.withColumn("_at", stamp), late)
 
     def work(batch: DataFrame, number: int) -> None:
         sink(caption_qc(batch.drop("_at")), number)
