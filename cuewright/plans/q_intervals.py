@@ -18,12 +18,12 @@ def _clicks(spark, d):
     return B.interval(spark, d).filter("kind = 'click'").select("media_id", "event_id", "s", "e")
 
 
-def _views(spark, d):
-    return B.interval(spark, d).filter("kind = 'view'").select("media_id", "event_id", "s", "e")
+def _others(spark, d):
+    return B.interval(spark, d).filter("kind <> 'click'").select("media_id", "event_id", "s", "e")
 
 
 CLICKS = """, click as (select media_id, event_id, s, e from "interval" where kind='click'),
-  views as (select media_id, event_id, s, e from "interval" where kind='view') """
+  views as (select media_id, event_id, s, e from "interval" where kind<>'click') """
 
 
 @query("jn0_interval_join", with_("word keep", """select w.media_id, w.seq, k.s as keep_s,
@@ -66,7 +66,7 @@ def jn4(spark, d):
       (select round(min(v.s),2) from views v where v.media_id=c.media_id and v.s>=c.e-0.02::double) as cut_to
     from click c"""))
 def jn5(spark, d):
-    around = iv.pause_around(_clicks(spark, d), _views(spark, d))
+    around = iv.pause_around(_clicks(spark, d), _others(spark, d))
     return around.select("event_id", "cut_from", "cut_to")
 
 
@@ -75,7 +75,7 @@ def jn5(spark, d):
       from click c left join views v on v.media_id=c.media_id)
     select event_id, case when dist<=900 then s end as near_s, case when dist<=900 then e end as near_e from p where rn=1"""))
 def jn6(spark, d):
-    near = iv.nearest(_clicks(spark, d), "s", _views(spark, d), reach=900.0)
+    near = iv.nearest(_clicks(spark, d), "s", _others(spark, d), reach=900.0)
     return near.select("event_id", F.col("near.s").alias("near_s"), F.col("near.e").alias("near_e"))
 
 
@@ -113,7 +113,7 @@ def jn11(spark, d):
 def jn22(spark, d):
     return iv.unpaired_events(
         _clicks(spark, d).select("media_id", "event_id", F.col("s").alias("t")),
-        _views(spark, d).select("media_id", F.col("s").alias("t")), tol=120.0,
+        _others(spark, d).select("media_id", F.col("s").alias("t")), tol=120.0,
     ).select("event_id", "t")
 
 
@@ -123,7 +123,7 @@ def jn22(spark, d):
 def jn23(spark, d):
     return iv.event_conflicts(
         _clicks(spark, d).select("media_id", "event_id", F.col("s").alias("t")),
-        _views(spark, d).select("media_id", F.col("s").alias("t")), low=5.0, high=120.0,
+        _others(spark, d).select("media_id", F.col("s").alias("t")), low=5.0, high=120.0,
     ).select("event_id", "t", "dist")
 
 
@@ -131,7 +131,7 @@ def jn23(spark, d):
       from click c left join views v on v.media_id=c.media_id and v.s<c.e and v.e>c.s group by 1,2,3)
     select event_id, round(cov/(e-s),6) as coverage from c where e-s>=0.2::double and round(cov/(e-s),6)<0.25::double"""))
 def jn31(spark, d):
-    return iv.voice_without_word(_clicks(spark, d), _views(spark, d), ["event_id"]).select("event_id", "coverage")
+    return iv.voice_without_word(_clicks(spark, d), _others(spark, d), ["event_id"]).select("event_id", "coverage")
 
 
 @query("win1_runs", with_("level", """, g as (select media_id, frame, db, frame-row_number() over (partition by media_id order by frame) as run
