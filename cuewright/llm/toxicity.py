@@ -6,6 +6,7 @@ import re
 from functools import partial
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from cuewright.llm.common import cut_lineage, map_rows
 
 #: Labelled documents that are learnt from at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 200_000
-#: Dirichlet prior (pseudo-counts by occurrence, and for each token), lowest z of a toxic token,
-#: score of any other token.
-PRIOR, FLOOR, MIN_Z, BACKGROUND = 0.05, 0.5, 5.0, -0.3
+#: Dirichlet prior (pseudo-counts by occurrence, and for each token), prior variance of a log-odds,
+#: what each token costs besides its log-odds.
+PRIOR, FLOOR, SPREAD, BACKGROUND = 0.05, 0.5, 0.25, -0.3
 #: A prefix stands for the words that begin with it, so that rare inflections count.
 PREFIXES = (4, 5, 6)
 #: Fixed by the contract: score from which a document is predicted toxic.
@@ -45,9 +46,10 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame, total: tuple[int, int]) -> DataFrame:
-    """``feature``, ``delta``, ``z``: log-odds of toxic against other text under an informative Dirichlet
-    prior, for words (``=word``) and prefixes (``prefix*``). The prior gives each feature pseudo-counts
-    in proportion to its count in all text, plus a floor; z is the log-odds by its standard error."""
+    """``feature``, ``delta``, ``z``, ``score``: log-odds of toxic against other text under an informative
+    Dirichlet prior, for words (``=word``) and prefixes (``prefix*``). The prior gives each feature
+    pseudo-counts in proportion to its count in all text, plus a floor; z is the log-odds by its standard
+    error; the score is its posterior mean under a normal law around 0, less the cost of a token."""
     nt, nn = total
     parts = [F.array(F.concat(F.lit("="), "word"))]
     for k in PREFIXES:
@@ -58,46 +60,67 @@ def log_odds(counts: DataFrame, total: tuple[int, int]) -> DataFrame:
     whole = PRIOR * (nt + nn) + FLOOR
     odds = lambda y, n: F.log(y / F.greatest(n + whole - y, F.lit(FLOOR)))
     delta = odds(at, nt) - odds(an, nn)
-    return feats.withColumn("delta", delta).withColumn("z", delta / F.sqrt(1 / at + 1 / an)).select("feature", "delta", "z")
+    error = 1 / at + 1 / an
+    score = F.col("delta") * SPREAD / (error + SPREAD) + BACKGROUND
+    return feats.withColumn("delta", delta).select("feature", "delta", (F.col("delta") / F.sqrt(error)).alias("z"), score.alias("score"))
 
 
 class Lexicon:
-    """Scores of words: the log-odds of the feature with the highest z, else the background score."""
+    """Scores of words: that of the feature with the z furthest from 0, else the background score.
 
-    def __init__(self, rows: list[tuple[str, float, float]]):
-        self.rows = rows
-        self.at: dict[str, tuple[float, float]] = {f: (z, d) for f, d, z in rows}
+    Features are kept as sorted XXH64 hashes beside their z and score (24 bytes each), as every one counts.
+    """
+
+    def __init__(self, hashes: np.ndarray, z: np.ndarray, scores: np.ndarray):
+        order = np.argsort(hashes)
+        self.rows = hashes[order], z[order], scores[order]
         self.seen: dict[str, float] = {}
 
     def __getstate__(self):
         return self.rows
 
     def __setstate__(self, rows):
-        self.__init__(rows)
-
-    def score(self, word: str) -> float:
-        s = self.seen.get(word)
-        if s is None:
-            found = [x for x in (self.at.get("=" + word), *(self.at.get(word[:k] + "*") for k in PREFIXES if len(word) >= k)) if x]
-            s = max(found)[1] if found else BACKGROUND
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = s
-        return s
-
-
-def segments(scores: list[tuple[int, float]], background: float = BACKGROUND) -> list[tuple[int, int, float]]:
+        self.rows, self.seen = rows, {}
+
+    def __len__(self) -> int:
+        return len(self.rows[0])
+
+    def learn(self, words: set[str]) -> dict[str, float]:
+        """Scores by word of ``words`` at least; those met before are remembered."""
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        new = [w for w in words if w not in self.seen]
+        if not new or not len(self):
+            self.seen.update(dict.fromkeys(new, BACKGROUND))
+            return self.seen
+        hashes, z, scores = self.rows
+        best, said = np.full(len(new), -1.0), np.full(len(new), BACKGROUND)
+        for k in (0, *PREFIXES):
+            of = [i for i, w in enumerate(new) if len(w) >= k]
+            names = (("=" + new[i] if k == 0 else new[i][:k] + "*").encode() for i in of)
+            h = np.fromiter((xxhash.xxh64_intdigest(f, 42) for f in names), np.uint64, len(of)).view(np.int64)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            rows, at = np.array(of, np.int64)[hashes[at] == h], at[hashes[at] == h]
+            better = np.abs(z[at]) > best[rows]
+            rows, at = rows[better], at[better]
+            best[rows], said[rows] = np.abs(z[at]), scores[at]
+        self.seen.update(zip(new, said.tolist()))
+        return self.seen
+
+
+def segments(scores: list[tuple[int, float]], background: float = BACKGROUND, before: list[float] | None = None) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, end, score) in linear time.
 
-    ``scores`` holds the positive tokens by position; every other token costs ``background``. Each
+    ``scores`` holds the positive tokens by position, ``before`` the running total in front of each of
+    them; without it every other token costs ``background``. Each
     positive token starts as a segment; it is joined with the nearest earlier one that starts lower, as
     long as that one also ends lower (in running totals), so the kept segments are those no extension
     or cut improves.
     """
     out: list[list] = []  # first, end, total before, total after, nearest earlier segment that starts lower
     total, last = 0.0, 0
-    for at, s in scores:
-        total += background * (at - last)
+    for i, (at, s) in enumerate(scores):
+        total = before[i] if before is not None else total + background * (at - last)
         new = [at, at + 1, total, total + s, -1]
         total += s
         last = at + 1
@@ -118,12 +141,14 @@ def segments(scores: list[tuple[int, float]], background: float = BACKGROUND) ->
 
 def _scan(columns: list[list], lexicon: Lexicon) -> list[list]:
     n_words, found = [], []
-    score = lexicon.score
     for text in columns[0]:
         words = _WORDS.findall(text.lower()) if text else []
-        hits = [(i, s) for i, s in enumerate(map(score, words)) if s > 0] if lexicon.rows else []
+        known = lexicon.learn(set(words))
+        scores = np.fromiter((known[w] for w in words), float, len(words))
+        hits = np.flatnonzero(scores > 0)
+        before = (np.cumsum(scores) - scores)[hits]
         n_words.append(len(words))
-        found.append([{"first": a, "until": b, "score": s} for a, b, s in segments(hits)])
+        found.append([{"first": a, "until": b, "score": s} for a, b, s in segments(list(zip(hits.tolist(), scores[hits].tolist())), before=before.tolist())])
     return [n_words, found]
 
 
@@ -157,8 +182,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Per document: id, ``held_out``, ``score`` (chance of the toxic label), ``predicted``, ``passages``
     (first word, end, score of every significant segment), ``best_p`` (p-value of the best one).
 
-    Words are counted in labelled documents that are not held out; those with a significant log-odds
-    form the lexicon. Segment maxima of clean training documents follow a Gumbel law with the decay
+    Words are counted in labelled documents that are not held out; the shrunken log-odds of all of them,
+    toxic or not, form the lexicon. Segment maxima of clean training documents follow a Gumbel law with the decay
     rate of the clean score distribution; its scale is fitted by maximum likelihood. A segment's
     evidence is its score in units of that law beyond what a document of that length reaches by
     chance; a document's evidence, summed over its segments, is turned into a probability by a
@@ -170,13 +195,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # ``known`` has about ``train_rows`` rows at most, so its size is bounded and no text is shuffled for it
     counts = cut_lineage(token_counts(lean.join(F.broadcast(known), "_id")))
     nt, nn = (int(v or 0) for v in counts.agg(F.sum("yt"), F.sum("yn")).first())
-    rows: list[tuple[str, float, float]] = []
-    rate = 1.0
+    lexicon, rate = Lexicon(np.empty(0, np.int64), np.empty(0), np.empty(0)), 1.0
     if nt and nn:
-        # bounded by the number of training rows: a feature needs several toxic occurrences to pass
-        rows = [tuple(r) for r in log_odds(counts, (nt, nn)).filter((F.col("z") >= MIN_Z) & (F.col("delta") > 0)).orderBy("feature").toLocalIterator()]
-    lexicon = Lexicon(rows)
-    if rows:
+        # bounded by the words of the training rows, 24 bytes for each word or prefix
+        rows = log_odds(counts, (nt, nn)).select(F.xxhash64("feature").alias("h"), "z", "score").toArrow()
+        lexicon = Lexicon(*(rows[c].to_numpy() for c in ("h", "z", "score")))
+    if len(lexicon):
         per_word = map_rows(counts, ["word"], ["yn"], "s double", partial(_word_scores, lexicon=lexicon))
         bins = per_word.groupBy("s").agg(F.sum("yn").alias("n")).collect()  # scores rounded to tenths
         whole = sum(r["n"] for r in bins) + 0.5 * len(bins)
@@ -191,7 +215,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # (evidence, label) pairs: at most about ``train_rows`` of them
     pairs = np.array([tuple(r) for r in train.select(F.log1p(evidence), F.col("_y").cast("double")).toLocalIterator()]).reshape(-1, 2)
     share = float(pairs[:, 1].mean()) if len(pairs) else 0.0
-    if rows and 0 < share < 1:
+    if len(lexicon) and 0 < share < 1:
         a, b = logistic(pairs[:, 0], pairs[:, 1])
         score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(max(b, 0.0)) * F.log1p(evidence))))
     else:
@@ -208,4 +232,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def _word_scores(columns: list[list], lexicon: Lexicon) -> list[list]:
-    return [[round(lexicon.score(w), 1) for w in columns[0]]]
+    known = lexicon.learn(set(columns[0]))
+    return [[round(known[w], 1) for w in columns[0]]]

@@ -14,7 +14,7 @@ from cuewright.llm.cotraining import score_quality
 from cuewright.llm.html_blocks import blocks_of
 from cuewright.llm.html_extract import HIDDEN, Labeller, _extract, block_vectors, extract_text, made_page, train
 from cuewright.llm.queries import op4_toxicity, op8_cotraining, op10_html_extraction
-from cuewright.llm.toxicity import BACKGROUND, decay, score_toxicity, segments
+from cuewright.llm.toxicity import BACKGROUND, decay, log_odds, score_toxicity, segments
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,6 +60,21 @@ def test_toxicity_held_out(spark):
     assert (clean.predicted == 0).mean() > 0.95
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out_recall(spark, sf):
+    said = pd.read_parquet(f"/root/testdata/{sf}/labels.parquet")
+    both = op4_toxicity(spark, f"/root/testdata/{sf}").toPandas().merge(said, on="doc_id")
+    held = both[both.held_out]
+    assert held[held.toxic == 1].predicted.mean() >= 0.94
+    assert held[held.toxic == 0].predicted.mean() <= 0.02
+
+
+def test_toxicity_scores_every_word(spark):
+    counts = spark.createDataFrame([("rare", 2, 0), ("calm", 0, 40), ("both", 9, 91)], "word string, yt long, yn long")
+    got = {r.feature: r.score for r in log_odds(counts, (1000, 10000)).collect()}
+    assert got["=rare"] > 0 and got["=calm"] < got["=both"] < 0 and BACKGROUND not in got.values()
+
+
 def test_toxicity_catches_planted_words(spark):
     rng = random.Random(4)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
