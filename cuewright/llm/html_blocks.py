@@ -6,15 +6,22 @@ import html
 import re
 
 #: Elements whose content is never text of the page.
-_RAW = "script|style|title|template|noscript|svg|iframe|object|math"
+_RAW = "script|style|title|template"
+_INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: The first branches skip comments and raw elements with their content; a self-closed one (as in SVG) has none.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?:/>|(?=[\s/>]){_INSIDE}>(?:(?<=[\s\"']/>)|.*?(?:</\1(?=[\s/>])[^>]*>|\Z)))|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas and drawings stand within a line, with all that they hold.
+_INLINE |= frozenset("math semantics annotation annotation-xml mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror".split())
+_INLINE |= frozenset("svg g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath desc image marker mask pattern clippath lineargradient radialgradient stop filter".split())
+#: Inline, but apart from what is beside them.
+_APART = frozenset("br text desc mtd annotation annotation-xml".split())
 #: A tag that opens ends the open elements named here, up to the nearest of the second group.
 _ENDS = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
@@ -88,8 +95,9 @@ def blocks_of(page: str | None) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if tag in _APART:
             pieces.append(" ")
+        if tag == "br":
             continue
         inline = tag in _INLINE
         if not inline:

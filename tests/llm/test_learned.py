@@ -172,6 +172,37 @@ def test_blocks():
     assert blocks_of("plain text")[0].text == "plain text"
 
 
+@pytest.mark.parametrize(
+    "tag, inside",
+    [
+        ('<svg class="i"/>', ""), ("<svg/>", ""), ("<math/>", ""), ('<svg-icon name="a"></svg-icon>', ""), ("<math-field></math-field>", ""),
+        ("<title-bar></title-bar>", ""), ("<object-card></object-card>", ""), ('<script-box class="x">', ""), ("<style-guide/>", ""),
+        ("<svg><title/><style/><path d='M0 0'/></svg>", ""), ("<svg><title>icon</title><g><path d='M0 0'/></g></svg>", ""),
+        ("<script>if(a<b)'</p>'</script >", ""), ("<style>p{}</style x>", ""), ("<template><p>no</p></template>", ""),
+        ("<math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>n</mi></msup></math>", "x=2n"), ("<svg><text>left</text><text>right</text></svg>", "left right"),
+        ("<noscript>still text</noscript>", "still text"), ("<object data='a'>fallback words</object>", "fallback words"), ("<iframe src='a'/>", ""),
+    ],
+)
+def test_blocks_keep_the_text_behind_odd_elements(tag, inside):
+    got = blocks_of(f"<body><article><p>one two {tag}</p><p>three four</p></article><p>five</p></body>")
+    assert " ".join(b.text for b in got).split() == f"one two {inside} three four five".split()
+    assert [b.tags for b in got if b.text == "three four"] == [["body", "article", "p"]] or "-" in tag
+
+
+def test_formulas_stay_in_their_line():
+    got = blocks_of("<p>so <math><mi>x</mi><mo>&gt;</mo><mn>0</mn></math> holds <svg><path d='M0'/></svg> here</p>")
+    assert [b.text for b in got] == ["so x>0 holds here"]
+
+
+def test_html_keeps_articles_with_odd_elements(model):
+    say = "The river runs past the old harbour and the people of the town walk along it in the evening, {}."
+    odd = ['<svg class="i"/>', "<svg-icon></svg-icon>", "<math-field></math-field>", "<title-bar></title-bar>", "<object-card></object-card>", "<math><mi>x</mi></math>"]
+    for tag in odd:
+        page = f"<html><body><article>{tag}" + "".join(f"<p>{say.format(i)}</p>" for i in range(6)) + "</article></body></html>"
+        text = _extract([[page]], model)[0][0]
+        assert all(say.format(i) in text for i in range(6)), tag
+
+
 def test_html_odd_rows(spark, model):
     pages = [None, "<article><p>Some text of an article.</p></article>", "", "<" * 50_000, "<div>" * 20_000 + "x"]
     texts, lengths, _ = _extract([pages], model)
