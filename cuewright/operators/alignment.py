@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.functions.text import jaccard, norm_strip, tokens, trim_punct
-from cuewright.operators.greedy import blocks, by_rule, chain
+from cuewright.operators.greedy import CHUNK, blocks, by_rule, chain
 from cuewright.operators.intervals import covered, kept, text_in
 from cuewright.operators.levels import runs, seconds
 from cuewright.operators.slices import Layout, islands, neighbours, position, running
@@ -255,18 +255,18 @@ def other_voice(sim: DataFrame, speech: DataFrame, keep: DataFrame, words: DataF
     return text_in(spoken, words, ["f0"]).select("media_id", "s", "e", F.round("sim", 6).alias("sim"), "text")
 
 
-def drop_overlapped(captions: DataFrame, min_block: float = 0.45, max_cps: float = 20.0, share: float = 0.5, squeeze: float = 0.6, key: Sequence[str] = ("clip_id",), reach: int = 64) -> DataFrame:
+def drop_overlapped(captions: DataFrame, min_block: float = 0.45, max_cps: float = 20.0, share: float = 0.5, squeeze: float = 0.6, key: Sequence[str] = ("clip_id",), reach: int = 64, chunk: int = CHUNK) -> DataFrame:
     """Two people saying nearly the same at once leave two captions without time for both: the one
-    with less room goes, the other takes its time. ``repaired`` marks captions of such origin."""
+    with less room goes, the other takes its time. ``repaired`` marks captions of such origin. ``reach``
+    is the margin read at first; longer runs are read with a larger one."""
     key = list(key)
     rows = position(captions, Layout(tuple(key), ("s", "e", "text"), 3600.0), "pos")
-    last = neighbours(rows, Layout(tuple(key), ("pos",)), lead={"_n": "pos"}).withColumn("_last", F.col("_n").isNull()).drop("_n")
 
     def room(s, e, text):
         return (e - s) / max(min_block, len(text) / max_cps)
 
     def fold(data, i):
-        start, end, text, flag, final = data
+        start, end, text, flag = data
         me, s, e, j = i, start[i], end[i], i + 1
         while j < len(start):
             a, b = set(text[me].lower().split()), set(text[j].lower().split())
@@ -276,23 +276,21 @@ def drop_overlapped(captions: DataFrame, min_block: float = 0.45, max_cps: float
                 return me, s, e, j
             me = me if mine >= its else j
             s, e, j = min(s, start[j]), max(e, end[j]), j + 1
-        if not final[-1]:
-            raise ValueError("a run of equal captions is longer than reach; raise reach")
         return me, s, e, j
 
     def rule(data, i, first, count):
         return [(first + i, first + fold(data, i)[3])]
 
-    cols = ["s", "e", "text", "repaired", "_last"]
-    starts = chain(by_rule(last, key, cols, rule, reach), key).withColumnRenamed("id", "pos")
-    grouped = blocks(rows, starts, key)
+    cols = ["s", "e", "text", "repaired"]
+    starts = chain(by_rule(rows, key, cols, rule, reach, chunk, grow=True), key, chunk).withColumnRenamed("id", "pos")
+    grouped = blocks(rows, starts, key, chunk=chunk)
     schema = T.StructType([*[rows.schema[k] for k in key], T.StructField("seq", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("e", T.DoubleType()), T.StructField("text", T.StringType())])
     single = grouped.groupBy(*key, "block").agg(F.count("*").alias("_c"))
     both = grouped.join(single, [*key, "block"])
 
     def collapse(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("pos")
-        data = [g[c].tolist() for c in ("s", "e", "text", "repaired")] + [[True] * len(g)]
+        data = [g[c].tolist() for c in ("s", "e", "text", "repaired")]
         me, s, e, _ = fold(data, 0)
         return pd.DataFrame([{**{k: g[k].iloc[0] for k in key}, "seq": int(g["block"].iloc[0]), "s": s, "e": e, "text": data[2][me]}])
 

@@ -15,6 +15,7 @@ No task holds more than one chunk of nodes, or the landing nodes of one entity.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,19 +111,47 @@ def by_rule(
     rule: Callable[[list[list], int, int, bool], list[tuple[int, int]]],
     reach: int,
     chunk: int = CHUNK,
+    grow: bool = False,
 ) -> DataFrame:
     """Nodes ``(key, id, nxt)`` from a Python rule over ``df(key, pos, columns)``.
 
     ``rule(data, i, first, n)`` returns (id, next id) pairs for row ``i``; ``first`` is the
     position of row 0 of ``data``. A block never holds more than ``reach`` rows, and chunks are
-    read with that many rows on both sides, so each rule call sees all it needs.
+    read with that many rows on both sides, so each rule call sees all it needs. With ``grow``, ids are
+    positions and blocks of any length are right: a chunk where a block runs to the end of the margin is
+    read again with four times the margin.
     """
     key = list(key)
+    if grow:
+        done, rest = [], df
+        while True:
+            found = cut_lineage(_by_rule(rest, key, columns, rule, reach, chunk, True).withColumn("_chunk", F.floor(F.col("id") / chunk)))
+            open_ = found.filter("nxt = -1").select(*key, "_chunk").distinct()
+            if open_.isEmpty():
+                return reduce(DataFrame.unionByName, [*done, found]).drop("_chunk")
+            open_ = cut_lineage(open_)
+            done.append(found.join(open_, [*key, "_chunk"], "left_anti"))
+            reach *= 4
+            rest = _read_again(df, open_, key, chunk, reach)
+    return _by_rule(df, key, columns, rule, reach, chunk, False)
+
+
+def _read_again(df: DataFrame, chunks: DataFrame, key: list[str], chunk: int, reach: int) -> DataFrame:
+    """Rows of ``df`` with ``_only``, the one of ``chunks`` for which each is read (with its margin)."""
+    low, high = F.floor(F.greatest(F.col("pos") - reach, F.lit(0)) / chunk), F.floor((F.col("pos") + reach) / chunk)
+    near = df.withColumn("_only", F.explode(F.sequence(low, high)))
+    return near.join(chunks.withColumnRenamed("_chunk", "_only"), [*key, "_only"], "left_semi")
+
+
+def _by_rule(df: DataFrame, key: list[str], columns: Sequence[str], rule: Callable, reach: int, chunk: int, grow: bool) -> DataFrame:
     at = F.col("pos")
     low = F.floor(F.greatest(at - reach, F.lit(0)) / chunk)
-    spread = df.select(*key, "pos", *columns).withColumn(
-        "_chunk", F.explode(F.sequence(low, F.floor((at + reach) / chunk)))
-    )
+    if "_only" in df.columns:
+        spread = df.select(*key, "pos", *columns, F.col("_only").alias("_chunk"))
+    else:
+        spread = df.select(*key, "pos", *columns).withColumn(
+            "_chunk", F.explode(F.sequence(low, F.floor((at + reach) / chunk)))
+        )
 
     def step(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("pos")
@@ -131,6 +160,8 @@ def by_rule(
         pairs = [p for i in np.flatnonzero(pos // chunk == mine) for p in rule(data, int(i), int(pos[0]), len(pos))]
         if not pairs:  # a chunk that only holds its neighbour's margin
             return pd.DataFrame([])
+        if grow and pos[-1] >= (mine + 1) * chunk - 1 + reach:  # rows may follow the margin
+            pairs = [(i, n if n <= pos[-1] else -1) for i, n in pairs]
         ids, nxt = zip(*pairs, strict=True)
         return pd.DataFrame({**{k: [g[k].iloc[0]] * len(ids) for k in key}, "id": ids, "nxt": nxt})
 

@@ -236,6 +236,29 @@ def test_token_diff_is_the_standard_ratio(spark):
     assert [op["tag"] for op in r["ops"]] == [o[0] for o in difflib.SequenceMatcher(None, a, b).get_opcodes()]
 
 
+def test_drop_overlapped_long_run_across_chunks(spark):
+    data = [("a", i * 0.01, i * 0.01 + 0.2, "one two three four", True) for i in range(90)] + [("a", 50.0, 52.0, "other", False)]
+    df = spark.createDataFrame(data, "clip_id string, s double, e double, text string, repaired boolean")
+    got, whole = (rows(al.drop_overlapped(df, chunk=c, reach=4), "seq") for c in (8, 1 << 16))
+    assert got == whole and 1 < len(got) < 20
+
+
+def test_merge_captions_with_many_blank_rows(spark):
+    data = [("a", 0.0, 0.001, "ab"), *[("a", i * 0.001, i * 0.001 + 0.001, "") for i in range(1, 70)], ("a", 0.07, 0.08, "cd"), ("a", 9.0, 9.5, "ef")]
+    df = spark.createDataFrame(data, "clip_id string, s double, e double, text string")
+    got, whole = (rows(sg.merge_captions(df, chunk=c), "seq") for c in (7, 1 << 16))
+    assert got == whole and [r[2:4] for r in got] == [(0.0, 0.08), (9.0, 9.5)] and got[0][4].split() == ["ab", "cd"]
+
+
+def test_greedy_captions_carry_many_words(spark):
+    words = ["a"] * 40 + ["x" * 90, "end."]
+    df = spark.createDataFrame([("c", i * 0.1, i * 0.1 + 0.1, w) for i, w in enumerate(words)], "clip_id string, s double, e double, word string")
+    want = ["a", " ".join(["a"] * 39 + ["x" * 90]), "end."]
+    for c in (5, 1 << 16):
+        got = sg.greedy_captions(df, limit=100, sentence_limit=110, functions=frozenset("a"), chunk=c)
+        assert [r["text"] for r in got.orderBy("s").collect()] == want
+
+
 def test_drop_overlapped_keeps_the_roomier(spark):
     data = [("c", 0.0, 0.1, "tudo bem com você", True), ("c", 0.05, 1.5, "tudo bem com você aí", False), ("c", 4.0, 6.0, "outra", False)]
     df = spark.createDataFrame(data, "clip_id string, s double, e double, text string, repaired boolean")
