@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,3 +127,52 @@ def map_rows(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], schema:
                 )
 
     return src.mapInArrow(run, f"{fields}, {schema}" if fields else schema)
+
+
+def dealt(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """A written (checkpointed) table with ``_block``, which deals its rows evenly to blocks of about
+    ``rows``, and the number of blocks."""
+    blocks = max(1, -(-df.count() // rows))
+    return df.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), blocks
+
+
+def meet_blocks(
+    rows: DataFrame,
+    queries: DataFrame,
+    blocks: int,
+    schema: str,
+    build: Callable[[list[pa.RecordBatch]], object],
+    answer: Callable[[object, pa.RecordBatch], Iterator[pa.RecordBatch]],
+    chunk: int = 1024,
+) -> DataFrame:
+    """A stated set of queries against every block of rows, both shuffled by block number.
+
+    A task reads the rows of a block (``_block`` under ``blocks``), builds what ``build`` makes of them, and
+    answers the queries behind them in the same sorted stream, at most ``chunk`` at a time: it holds one
+    block and one chunk, however many rows and queries there are. Blocks without rows answer nothing.
+    """
+    copies = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    stream = rows.withColumn("_kind", F.lit(0)).unionByName(copies.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    stream = stream.repartition("_block").sortWithinPartitions("_block", "_kind")
+    at_block, at_kind = stream.columns.index("_block"), stream.columns.index("_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, built = None, [], None
+        for batch in batches:
+            block, kind = batch.column(at_block).to_numpy(), batch.column(at_kind).to_numpy()
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if block[a] != current:
+                    current, parts, built = block[a], [], None
+                if kind[a] == 0:
+                    parts.append(batch.slice(a, b - a))
+                    continue
+                if built is None and parts:
+                    built, parts = build(parts), []
+                if built is not None:
+                    for c in range(a, b, chunk):
+                        yield from answer(built, batch.slice(c, min(chunk, b - c)))
+
+    return stream.mapInArrow(run, schema)
