@@ -268,9 +268,9 @@ class _Join:
         shared = shared.filter(100 * F.size("shared") >= bounds.percent * F.col("size"))
         kinds = "node bigint, size bigint, alone bigint, keys array<bigint>, " + ", ".join(f"b{i} bigint" for i in range(BITMAP_LONGS))
         self.nodes = cut_lineage(shared.mapInArrow(_index(bounds, rare), kinds))
-        keys = self.nodes.select(F.explode("keys").alias("key"), "node")
-        crowd = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot < _last")
-        self.keys = cut_lineage(keys.join(crowd.drop("_last"), "key"))
+        keys = self.nodes.select(F.explode("keys").alias("key"), "node", "alone")
+        crowd = keys.groupBy("key").agg(F.min_by("node", F.struct("alone", "node")).alias("pivot"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        self.keys = cut_lineage(keys.drop("alone").join(crowd.drop("_n"), "key"))
 
     def _possible(self, x: str, y: str) -> Column:
         return self.bounds.possible(F.col(f"{x}.size") + F.col(f"{y}.size"), _apart(x, y))
@@ -282,9 +282,10 @@ class _Join:
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.bounds), "a bigint, b bigint")
 
     def pivots(self) -> DataFrame:
-        """Links of each key's smallest member."""
-        near = self.keys.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        met = near.join(self.nodes.alias("x"), F.col("a") == F.col("x.node")).join(self.nodes.alias("y"), F.col("b") == F.col("y.node"))
+        """Links of each key's pivot, the member with the fewest shingles of its own: of copies that
+        were changed in different places, the one nearest to all of them."""
+        near = self.keys.filter("pivot != node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+        met = near.distinct().join(self.nodes.alias("x"), F.col("a") == F.col("x.node")).join(self.nodes.alias("y"), F.col("b") == F.col("y.node"))
         return self._linked(met.filter(self._possible("x", "y")).select("a", "b"))
 
     def others(self, roots: DataFrame) -> DataFrame:
