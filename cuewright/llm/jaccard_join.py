@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import cut_lineage, map_rows
+from cuewright.llm.common import cut_lineage, map_rows, written
 from cuewright.llm.simhash_dedup import components
 from cuewright.operators.salting import attach
 
@@ -331,10 +331,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = map_rows(texts, ["_t"], ["node", "size"], "`set` binary", _full_sets(width))
     sets = cut_lineage(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("set").alias("set")))
     join = _Join(sets, bounds, rare)
-    links = cut_lineage(join.pivots())
-    roots = cut_lineage(components(links))
-    links = links.unionByName(cut_lineage(join.others(roots)))
-    roots = components(links)
+    links = written(join.pivots())
+    roots = cut_lineage(components(links, written))
+    links = links.unionByName(written(join.others(roots)))
+    roots = components(links, written)
     groups = found.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     ids = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("_id").alias("least"))
     both = groups.join(ids, "sig")

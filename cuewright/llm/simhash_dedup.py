@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +87,14 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.col("home").alias("a"), F.col("probe").alias("b")).distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for the nodes of the pairs ``a`` < ``b`` but the roots.
 
     Alternates large-star and small-star steps, which link every node to smaller ones until each
     component is a star; the number of rounds grows with the logarithm of its size. Each round is
-    written to the checkpoint folder. Copies of the one-row-per-node minimum share a crowded node.
+    written to the checkpoint folder by ``cut``. Copies of the one-row-per-node minimum share a crowded node.
     """
-    state = cut_lineage(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    state = cut(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     mark = None
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -103,7 +103,7 @@ def components(pairs: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("_m"))
         small = attach(large, least, ["u"], "inner", salts=8)
         small = small.select(F.explode(F.array(F.struct("u", F.col("_m").alias("v")), F.struct(F.greatest("v", "_m").alias("u"), F.least("v", "_m").alias("v")))).alias("e")).select("e.u", "e.v")
-        state = cut_lineage(small.filter("u != v").distinct())
+        state = cut(small.filter("u != v").distinct())
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
