@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.functions.text import jaccard, norm_strip, tokens, trim_punct
+from cuewright.operators.folds import CHUNK as FOLD_CHUNK
+from cuewright.operators.folds import fold_runs
 from cuewright.operators.greedy import CHUNK, blocks, by_rule, chain
 from cuewright.operators.intervals import covered, kept, text_in
 from cuewright.operators.levels import runs, seconds
@@ -255,47 +258,34 @@ def other_voice(sim: DataFrame, speech: DataFrame, keep: DataFrame, words: DataF
     return text_in(spoken, words, ["f0"]).select("media_id", "s", "e", F.round("sim", 6).alias("sim"), "text")
 
 
-def drop_overlapped(captions: DataFrame, min_block: float = 0.45, max_cps: float = 20.0, share: float = 0.5, squeeze: float = 0.6, key: Sequence[str] = ("clip_id",), reach: int = 64, chunk: int = CHUNK) -> DataFrame:
+@lru_cache(1024)
+def _word_set(text: str) -> frozenset[str]:
+    return frozenset(text.lower().split())
+
+
+def drop_overlapped(captions: DataFrame, min_block: float = 0.45, max_cps: float = 20.0, share: float = 0.5, squeeze: float = 0.6, key: Sequence[str] = ("clip_id",), chunk: int = FOLD_CHUNK) -> DataFrame:
     """Two people saying nearly the same at once leave two captions without time for both: the one
-    with less room goes, the other takes its time. ``repaired`` marks captions of such origin. ``reach``
-    is the margin read at first; longer runs are read with a larger one."""
-    key = list(key)
-    rows = position(captions, Layout(tuple(key), ("s", "e", "text"), 3600.0), "pos")
-
-    def room(s, e, text):
-        return (e - s) / max(min_block, len(text) / max_cps)
-
-    def fold(data, i):
-        start, end, text, flag = data
-        me, s, e, j = i, start[i], end[i], i + 1
-        while j < len(start):
-            a, b = set(text[me].lower().split()), set(text[j].lower().split())
-            same = len(a & b) / max(len(a | b), 1) >= share and (flag[me] or flag[j])
-            mine, its = room(s, e, text[me]), room(start[j], end[j], text[j])
-            if not same or min(mine, its) >= squeeze:
-                return me, s, e, j
-            me = me if mine >= its else j
-            s, e, j = min(s, start[j]), max(e, end[j]), j + 1
-        return me, s, e, j
-
-    def rule(data, i, first, count):
-        return [(first + i, first + fold(data, i)[3])]
-
-    cols = ["s", "e", "text", "repaired"]
-    starts = chain(by_rule(rows, key, cols, rule, reach, chunk, grow=True), key, chunk).withColumnRenamed("id", "pos")
-    grouped = blocks(rows, starts, key, chunk=chunk)
-    schema = T.StructType([*[rows.schema[k] for k in key], T.StructField("seq", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("e", T.DoubleType()), T.StructField("text", T.StringType())])
-    single = grouped.groupBy(*key, "block").agg(F.count("*").alias("_c"))
-    both = grouped.join(single, [*key, "block"])
-
-    def collapse(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("pos")
-        data = [g[c].tolist() for c in ("s", "e", "text", "repaired")]
-        me, s, e, _ = fold(data, 0)
-        return pd.DataFrame([{**{k: g[k].iloc[0] for k in key}, "seq": int(g["block"].iloc[0]), "s": s, "e": e, "text": data[2][me]}])
+    with less room goes, the other takes its time. ``repaired`` marks captions of such origin.
 
-    alone = both.filter("_c = 1").select(*key, F.col("block").alias("seq"), "s", "e", "text")
-    return alone.unionByName(both.filter("_c > 1").groupBy(*key, "block").applyInPandas(collapse, schema))
+    A null text counts as empty, a null mark as not set; captions without both times are left out. Runs
+    may be of any length (``fold_runs``)."""
+    key = list(key)
+    lean = captions.filter("s is not null and e is not null").select(*key, "s", "e", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("repaired", F.lit(False)).alias("repaired"))
+    rows = position(lean, Layout(tuple(key), ("s", "e", "text"), 3600.0), "pos")
+
+    def room(start: float, end: float, text: str) -> float:
+        return (end - start) / max(min_block, len(text) / max_cps)
+
+    def meet(held: tuple, row: tuple) -> tuple | None:
+        a, b = _word_set(held[2]), _word_set(row[2])
+        alike = len(a & b) / max(len(a | b), 1) >= share and (held[3] or row[3])
+        mine, its = room(*held[:3]), room(*row[:3])
+        if not alike or min(mine, its) >= squeeze:
+            return None
+        return (min(held[0], row[0]), max(held[1], row[1]), *(held if mine >= its else row)[2:])
+
+    state = T.StructType([rows.schema[c] for c in ("s", "e", "text", "repaired")])
+    return fold_runs(rows, key, ["s", "e", "text", "repaired"], state, tuple, meet, chunk).drop("repaired")
 
 
 def drop_block_duplicates(words: DataFrame, every: float = 600.0, near: float = 0.08, layout: Layout = Layout(("media_id",), ("seq",))) -> DataFrame:

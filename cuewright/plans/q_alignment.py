@@ -117,7 +117,22 @@ def jn32(spark, d):
     return al.other_voice(sim, speech, keep, B.word(spark, d), below=0.5)
 
 
-@query("jn33_drop_overlapped")
+@query("jn33_drop_overlapped", """with recursive twin as (
+      select conv_id as clip_id, (turn*10)::double as s, turn*10+0.4::double as e, text, false as repaired from conversations
+      union all select conv_id, turn*10+0.1::double, (turn*10+0.4::double)+0.2::double, text||' ok', true from conversations),
+    r as (select *, row_number() over (partition by clip_id order by s,e,text)-1 as pos,
+      list_distinct(list_filter(string_split_regex(lower(text),'\\s+'), lambda x: x<>'')) as w from twin),
+    fold as (
+      select clip_id, pos, 0::bigint as seq, s, e, text, repaired, w from r where pos=0
+      union all
+      select clip_id, pos, seq+(not joined)::bigint, case when joined then least(s,s2) else s2 end, case when joined then greatest(e,e2) else e2 end,
+        case when joined and mine>=its then text else text2 end, case when joined and mine>=its then repaired else repaired2 end,
+        case when joined and mine>=its then w else w2 end
+      from (select *, least(mine,its)<0.6::double and (repaired or repaired2) and len(list_intersect(w,w2))/greatest(len(list_distinct(w||w2)),1)>=0.5::double as joined
+        from (select f.clip_id, r.pos, f.seq, f.s, f.e, f.text, f.repaired, f.w, r.s as s2, r.e as e2, r.text as text2, r.repaired as repaired2, r.w as w2,
+          (f.e-f.s)/greatest(0.45::double, length(f.text)/20.0::double) as mine, (r.e-r.s)/greatest(0.45::double, length(r.text)/20.0::double) as its
+          from fold f join r on r.clip_id=f.clip_id and r.pos=f.pos+1)))
+    select clip_id, seq, arg_max(s,pos) as s, arg_max(e,pos) as e, arg_max(text,pos) as text from fold group by clip_id, seq""")
 def jn33(spark, d):
     caps = B.caption(spark, d).select("clip_id", "s", (F.col("s") + 0.4).alias("e"), "text", F.lit(False).alias("repaired"))
     twin = caps.select("clip_id", (F.col("s") + 0.1).alias("s"), (F.col("e") + 0.2).alias("e"), F.concat("text", F.lit(" ok")).alias("text"), F.lit(True).alias("repaired"))

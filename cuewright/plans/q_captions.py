@@ -184,7 +184,7 @@ def flt14(spark, d):
 
 
 @query("jn12_clip_cues", with_("keep", f"""
-  , cue as (select doc_id as media_id, n as seq, (n*5)::double as s, n*5+7.5::double as e, w[n*len(w)//12+1:(n+1)*len(w)//12] as w from (select doc_id, {_TOKENS} as w from documents), (select unnest(range(12)) as n)),
+  , cue as (select doc_id as media_id, n as seq, (n*5)::double as s, n*5+7.5::double as e, w[n*12+1:n*12+12] as w from (select doc_id, w, unnest(range((len(w)+11)//12)) as n from (select doc_id, {_TOKENS} as w from documents))),
   k as (select *, coalesce(sum(e-s) over (partition by media_id order by s rows between unbounded preceding and 1 preceding),0) as off from keep),
   p as (select c.media_id, c.seq, k.s as keep_s, k.off+(greatest(c.s,k.s)-k.s) as s, k.off+(least(c.e,k.e)-k.s) as e, w, (greatest(c.s,k.s)-c.s)/(c.e-c.s) as f0, (least(c.e,k.e)-c.s)/(c.e-c.s) as f1
      from cue c join k on k.media_id=c.media_id and c.s<k.e and c.e>k.s where least(c.e,k.e)-greatest(c.s,k.s)>0.02::double),
@@ -193,9 +193,10 @@ def flt14(spark, d):
     when i1>i0 then array_to_string(w[i0+1:greatest(i0+1,i1)],' ') else '' end as text from q) where text<>''"""))
 def jn12(spark, d):
     n = F.col("seq")
-    share = F.expr("slice(w, int(seq * size(w) div 12) + 1, int((seq + 1) * size(w) div 12) - int(seq * size(w) div 12))")
+    share = F.slice("w", (n * 12 + 1).cast("int"), 12)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), tokens("text").alias("w"))
-    cue = docs.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(
+    last = F.floor((F.size("w") - 1) / 12).cast("bigint")  # a cue of 12 words every 5 seconds, over the whole text
+    cue = docs.filter(F.size("w") > 0).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).select(
         "media_id", "seq", F.array_join(share, " ").alias("text"), (n * 5).cast("double").alias("s"), (n * 5 + 7.5).alias("e")
     )
     return cl.clip_cues(cue, B.keep(spark, d))

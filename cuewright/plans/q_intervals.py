@@ -87,7 +87,7 @@ def jn10(spark, d):
     return iv.to_output(B.word(spark, d), "s", B.keep(spark, d)).select("media_id", "seq", "out_t")
 
 
-@query("jn11_retime", with_("keep", """, ev as (select distinct media_id, unnest(range(0,45,3))*1.0::double as t from keep),
+@query("jn11_retime", with_("keep", """, ev as (select media_id, unnest(range(0,cast(floor(max(e)) as bigint)+1,3))*1.0::double as t from keep group by media_id),
     o as (select *, coalesce(sum(e-s) over (partition by media_id order by s rows between unbounded preceding and 1 preceding),0) as off from keep),
     n as (select media_id, s, e, coalesce(sum(e-s) over (partition by media_id order by s rows between unbounded preceding and 1 preceding),0) as off
       from (select media_id, s+1.5::double as s, e-0.5::double as e from keep where s%24<12)),
@@ -103,8 +103,8 @@ def jn10(spark, d):
 def jn11(spark, d):
     old = B.keep(spark, d)
     new = old.filter("s % 24 < 12").select("media_id", (F.col("s") + 1.5).alias("s"), (F.col("e") - F.lit(0.5)).alias("e"))
-    ticks = F.transform(F.sequence(F.lit(0), F.lit(42), F.lit(3)), lambda x: x.cast("double"))
-    ev = old.select("media_id").distinct().select("media_id", F.explode(ticks).alias("t"))
+    ends = old.groupBy("media_id").agg(F.floor(F.max("e")).alias("_end"))
+    ev = ends.select("media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_end"), F.lit(3).cast("bigint"))).alias("t")).withColumn("t", F.col("t").cast("double"))
     return iv.retime(ev, "t", old, new)
 
 

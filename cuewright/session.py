@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     relation is computed once and survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder. For loops of many rounds: unlike a checkpoint it does
+    not hand on the size estimates of its plan, which multiply from join to join."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -236,11 +236,53 @@ def test_token_diff_is_the_standard_ratio(spark):
     assert [op["tag"] for op in r["ops"]] == [o[0] for o in difflib.SequenceMatcher(None, a, b).get_opcodes()]
 
 
-def test_drop_overlapped_long_run_across_chunks(spark):
-    data = [("a", i * 0.01, i * 0.01 + 0.2, "one two three four", True) for i in range(90)] + [("a", 50.0, 52.0, "other", False)]
-    df = spark.createDataFrame(data, "clip_id string, s double, e double, text string, repaired boolean")
-    got, whole = (rows(al.drop_overlapped(df, chunk=c, reach=4), "seq") for c in (8, 1 << 16))
-    assert got == whole and 1 < len(got) < 20
+def plain_drop_overlapped(captions):
+    out, held = [], None
+    for s, e, text, flag in sorted(captions, key=lambda c: c[:3]):
+        row = [s, e, text, flag]
+        if held:
+            a, b = (set(t.lower().split()) for t in (held[2], text))
+            alike = len(a & b) / max(len(a | b), 1) >= 0.5 and (held[3] or flag)
+            mine, its = ((c[1] - c[0]) / max(0.45, len(c[2]) / 20.0) for c in (held, row))
+            if alike and min(mine, its) < 0.6:
+                held = [min(held[0], s), max(held[1], e), *(held if mine >= its else row)[2:]]
+                continue
+            out.append(held)
+        held = row
+    return [tuple(c[:3]) for c in [*out, *([held] if held else [])]]
+
+
+@pytest.mark.parametrize("chunk", [11, 40, 1 << 15])
+def test_drop_overlapped_equals_one_sweep(spark, chunk):
+    """Runs over many chunks, ties, repeated captions and mixed clips, whatever the chunk."""
+    rng, clips = random.Random(4), {}
+    for clip in ("a", "b", "c"):
+        at = 0.0
+        clips[clip] = []
+        for _ in range(70):
+            at += rng.choice([0.0, 0.01, 0.05, 2.0])
+            clips[clip].append((round(at, 2), round(at + rng.choice([0.05, 0.2, 1.0]), 2), rng.choice(["one two", "one two three", "four", ""]), rng.random() < 0.7))
+    clips["run"] = [(i * 0.01, i * 0.01 + 0.1, "same old words", True) for i in range(60)] + [(50.0, 52.0, "other", False)]
+    df = spark.createDataFrame([(k, *c) for k, v in clips.items() for c in v], "clip_id string, s double, e double, text string, repaired boolean")
+    got = al.drop_overlapped(df, chunk=chunk).orderBy("clip_id", "seq").collect()
+    for clip, captions in clips.items():
+        mine = [r for r in got if r["clip_id"] == clip]
+        assert [r["seq"] for r in mine] == list(range(len(mine)))
+        assert [(r["s"], r["e"], r["text"]) for r in mine] == plain_drop_overlapped(captions)
+
+
+def test_drop_overlapped_run_of_100000(spark):
+    data = [(i * 1e-4, i * 1e-4 + 1e-3, f"same old words {i % 7}", True) for i in range(100_000)]
+    df = spark.createDataFrame([("a", *c) for c in data], "clip_id string, s double, e double, text string, repaired boolean")
+    got = [(r["s"], r["e"], r["text"]) for r in al.drop_overlapped(df).orderBy("seq").collect()]
+    assert got == plain_drop_overlapped(data)
+
+
+def test_drop_overlapped_odd_rows(spark):
+    kind = "clip_id string, s double, e double, text string, repaired boolean, seq int"
+    df = spark.createDataFrame([("a", 0.0, 1.0, None, None, 1), ("a", None, 1.0, "x", True, 2), (None, 0.0, 1.0, "x", True, 3), (None, 0.0, 1.0, "x", True, 3)], kind)
+    assert sorted(map(tuple, al.drop_overlapped(df).collect()), key=str) == [("a", 0, 0.0, 1.0, ""), (None, 0, 0.0, 1.0, "x"), (None, 1, 0.0, 1.0, "x")]
+    assert al.drop_overlapped(df.limit(0)).count() == 0
 
 
 def test_merge_captions_with_many_blank_rows(spark):
