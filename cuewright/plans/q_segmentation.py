@@ -112,14 +112,21 @@ def seg6(spark, d):
     return sg.greedy_captions(B.turn_word(spark, d), functions=func)
 
 
-@query("seg7_short_blocks", _rec("turn_word", """, r as (select clip_id, seq as pos, word, len, s, e from turn_word),
-    nxt as (select i.clip_id, i.seq as pos, min(j.seq)+1 as nxt from turn_word i join turn_word j on j.clip_id=i.clip_id and j.seq>=i.seq and j.seq<=i.seq+4
-      and (j.seq-i.seq+1>=4 or j.cum-i.cum+i.len+j.seq-i.seq>=22 or regexp_matches(j.word,'[.?!]$') or (regexp_matches(j.word,'[,;:]$') and j.seq>i.seq) or j.seq=j.n-1) group by 1,2)
+@query("seg7_short_blocks", _rec("turn_word", """, halves as (select clip_id, seq, s, e, case when seq%9=4 then '-'||word else word end as word from turn_word),
+    numbered as (select *, sum(case when seq>0 and word like '-%' then 0 else 1 end) over (partition by clip_id order by seq)::bigint-1 as pos from halves),
+    unit as (select clip_id, pos, min_by(s,seq) as s, max_by(e,seq) as e, count(*) as size, max_by(word,seq) as last, string_agg(word,' ' order by seq) as word from numbered group by 1,2),
+    r as (select *, length(word) as len, sum(length(word)) over o as cum, sum(size) over o as words, count(*) over (partition by clip_id) as n
+      from unit window o as (partition by clip_id order by pos)),
+    nxt as (select i.clip_id, i.pos, min(j.pos)+1 as nxt from r i join r j on j.clip_id=i.clip_id and j.pos>=i.pos and j.pos<=i.pos+4
+      and (j.words-i.words+i.size>=4 or j.cum-i.cum+i.len+j.pos-i.pos>=22 or regexp_matches(j.last,'[.?!]$')
+        or (regexp_matches(j.last,'[,;:]$') and j.words-i.words+i.size>=2) or j.pos=j.n-1) group by 1,2)
     """ + CHAIN + """, g as (select clip_id, block as seq, min(s) as s, max_by(e,pos) as e, string_agg(word,' ' order by pos) as text from bl group by 1,2),
-    h as (select clip_id, seq, s, greatest(e, s+0.12::double) as e, trim(ltrim(text,',.;:!? ')) as text from g)
+    h as (select clip_id, seq, s, greatest(e, s+0.12::double) as e, trim(ltrim(regexp_replace(text,'\\s+-','-','g'),',.;:!? ')) as text from g)
     select clip_id, seq, s, least(e, lead(s) over (partition by clip_id order by seq)) as e, text from h where text<>''"""))
 def seg7(spark, d):
-    return sg.short_blocks(B.turn_word(spark, d).filter("word not like '-%'"))
+    # Recognisers write a hyphenated word as halves, the second with the hyphen; some words are made such halves.
+    half = F.when(F.col("seq") % 9 == 4, F.concat(F.lit("-"), "word")).otherwise(F.col("word"))
+    return sg.short_blocks(B.turn_word(spark, d).withColumn("word", half))
 
 
 _SEG8_FUNC = _list(sorted(sg.BLOCK_FUNCTION_WORDS) + ["the", "und", "la"])
