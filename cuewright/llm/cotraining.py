@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from functools import partial
 
@@ -47,7 +48,7 @@ def meta_view(text: str | None, source: str | None, lang: str | None) -> np.ndar
     out[xxhash.xxh32_intdigest("s" + (source or "")) % _SOURCES] = 1
     out[_SOURCES + xxhash.xxh32_intdigest("l" + (lang or "")) % _LANGS] = 1
     n, words, lines = len(text), text.count(" ") + 1, text.count("\n") + 1
-    upper = sum(map(str.isupper, text)) if n < 512 else sum(text.count(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    upper = sum(map(text.count, string.ascii_uppercase))
     marks = [
         math.log1p(n) / 10, math.log1p(words) / 10, math.log1p(lines) / 10, min(n / words, 40) / 40, min(words / lines, 400) / 400, upper / (n + 1),
         sum(map(text.count, "0123456789")) / (n + 1), sum(map(text.count, ".,;:")) / words, text.count("!") / words, text.count("|") / words,
@@ -148,7 +149,9 @@ def _scores(columns: list[list], model: Model) -> list[list]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, source_col: str, lang_col: str) -> Model:
-    """Collects the features of about ``LABELLED`` + ``POOL`` documents and co-trains on them."""
+    """Collects the features of about ``LABELLED`` + ``POOL`` documents and co-trains on them.
+
+    Of several rows with one id, the least (text, then source and language) is learnt from."""
     lean = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(source_col).alias("_s"), F.col(lang_col).alias("_l"))
     known = labelled(docs, labels, label_col, LABELLED, id_col)
     said = labels.select(F.col(id_col).alias("_id")).distinct()
@@ -156,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_
     chosen = lean.filter(F.pmod(F.xxhash64("_id", F.lit("pool")), F.lit(1_000_000)) < int(min(1.0, POOL / total) * 1_000_000)).filter(~held_out(F.col("_id")))
     pool = chosen.join(said, "_id", "left_anti").withColumn("_y", F.lit(-1))
     both = lean.join(F.broadcast(known), "_id").unionByName(pool)
+    both = both.groupBy("_id", "_y").agg(F.min(F.struct("_t", "_s", "_l")).alias("_r")).select("_id", "_y", "_r.*")  # one row per id bounds the rows
     rows = map_rows(both, ["_t", "_s", "_l"], ["_id", "_y"], "a binary, b binary", _features).orderBy("_id").toLocalIterator()
     y, a, b = [], [], []
     for r in rows:

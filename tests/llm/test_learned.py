@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuewright.llm.cotraining import score_quality
+from cuewright.llm.cotraining import meta_view, score_quality
 from cuewright.llm.html_blocks import blocks_of
 from cuewright.llm.html_extract import HIDDEN, Labeller, _extract, block_vectors, extract_text, made_page, train
 from cuewright.llm.queries import op4_toxicity, op8_cotraining, op10_html_extraction
@@ -210,3 +210,22 @@ def test_html_odd_rows(spark, model):
     assert texts[1] == "Some text of an article."
     rows = [(None if i == 1 else i, None, p, 1) for i, p in enumerate(pages)]
     assert extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").limit(0)).count() == 0
+
+
+def test_capitals_have_one_definition():
+    """A feature does not change its meaning where a text gets long."""
+    short, long = (meta_view(t, "s", "en") for t in ("É" * 400, "É" * 700))
+    assert short[-9] == long[-9] == 0.0
+    assert meta_view("A" * 10, "s", "en")[-9] > 0.9
+
+
+def test_quality_learns_from_one_row_an_id(spark):
+    """Repeated ids, null ids among them, neither unbound the training rows nor change scores by their order."""
+    rows = [(i, f"fine text number {i} about rivers", "a", "en") for i in range(60)] + [(i, f"$$$ BUY | {i} ###", "b", "en") for i in range(60, 120)]
+    rows += [(5, "another text of five", "a", "en")] * 30 + [(None, f"no id {i}", None, None) for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    kind = "doc_id long, text string, source string, lang string"
+    one, two = (score_quality(spark.createDataFrame(r, kind), labels).collect() for r in (rows, rows[::-1]))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in one) == sorted((str(r.doc_id), round(r.score, 6)) for r in two) and len(one) == len(rows)
+    sure = {r.doc_id: r.score for r in one if r.doc_id is not None and r.held_out}
+    assert sum((s >= 0.5) == (i < 60) for i, s in sure.items()) >= 0.9 * len(sure)
