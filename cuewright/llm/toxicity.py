@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import partial
 
@@ -14,9 +15,8 @@ from cuewright.llm.common import cut_lineage, map_rows
 
 #: Labelled documents that are learnt from at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 200_000
-#: Dirichlet prior (pseudo-counts by occurrence, and for each token), prior variance of a log-odds,
-#: what each token costs besides its log-odds.
-PRIOR, FLOOR, SPREAD, BACKGROUND = 0.05, 0.5, 0.25, -0.3
+#: What each token costs besides its log-odds.
+BACKGROUND = -0.3
 #: A prefix stands for the words that begin with it, so that rare inflections count.
 PREFIXES = (4, 5, 6)
 #: Fixed by the contract: score from which a document is predicted toxic.
@@ -45,68 +45,120 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sum(F.col("_y").cast("long")).alias("yt"), F.sum((1 - F.col("_y")).cast("long")).alias("yn"))
 
 
-def log_odds(counts: DataFrame, total: tuple[int, int]) -> DataFrame:
-    """``feature``, ``delta``, ``z``, ``score``: log-odds of toxic against other text under an informative
-    Dirichlet prior, for words (``=word``) and prefixes (``prefix*``). The prior gives each feature
-    pseudo-counts in proportion to its count in all text, plus a floor; z is the log-odds by its standard
-    error; the score is its posterior mean under a normal law around 0, less the cost of a token."""
-    nt, nn = total
+#: Strengths (pseudo-counts) of the Dirichlet priors that are mixed, from words that tell much to words that tell nothing.
+STRENGTHS = 2.0 ** np.arange(-1, 13, 2)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, eight steps up."""
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(np.prod([x + i for i in range(8)], axis=0))
+
+
+def _likelihoods(yt: np.ndarray, yn: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood (beta-binomial, less what all strengths share) of counts under each of ``STRENGTHS``, in the last axis."""
+    a, b = STRENGTHS * share, STRENGTHS * (1 - share)
+    yt, yn = yt[..., None], yn[..., None]
+    return _lgamma(yt + a) + _lgamma(yn + b) - _lgamma(yt + yn + a + b) - (_lgamma(a) + _lgamma(b) - _lgamma(a + b))
+
+
+def fit_prior(yt: np.ndarray, yn: np.ndarray, times: np.ndarray, share: float, rounds: int = 300) -> np.ndarray:
+    """Weights of ``STRENGTHS`` by empirical Bayes: EM on the marginal likelihood of the words' counts, each pair
+    (``yt``, ``yn``) seen ``times``."""
+    like = _likelihoods(yt, yn, share)
+    like = np.exp(like - like.max(-1, keepdims=True))
+    w = np.full(len(STRENGTHS), 1 / len(STRENGTHS))
+    for _ in range(rounds):
+        part = like * w
+        w = (part / part.sum(-1, keepdims=True) * times[:, None]).sum(0) / times.sum()
+    return w
+
+
+def shrunk(yt: np.ndarray, yn: np.ndarray, share: float, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mean and standard error of the log-odds of toxic against other text. A prior's pseudo-counts are
+    split as all text is, so that no evidence means log-odds of 0; strengths count by how well they explain the counts."""
+    like = _likelihoods(yt, yn, share)
+    part = np.exp(like - like.max(-1, keepdims=True)) * prior
+    part /= part.sum(-1, keepdims=True)
+    at, an = yt[..., None] + STRENGTHS * share, yn[..., None] + STRENGTHS * (1 - share)
+    each = np.log(at / an) - math.log(share / (1 - share))
+    mean = (part * each).sum(-1)
+    return mean, np.sqrt((part * (1 / at + 1 / an + (each - mean[..., None]) ** 2)).sum(-1))
+
+
+def feature_counts(counts: DataFrame) -> DataFrame:
+    """``feature``, ``yt``, ``yn`` of words (``=word``) and prefixes (``prefix*``)."""
     parts = [F.array(F.concat(F.lit("="), "word"))]
     for k in PREFIXES:
         parts.append(F.when(F.length("word") >= k, F.array(F.concat(F.substring("word", 1, k), F.lit("*")))).otherwise(F.array().cast("array<string>")))
-    feats = counts.select(F.explode(F.concat(*parts)).alias("feature"), "yt", "yn").groupBy("feature").agg(F.sum("yt").alias("yt"), F.sum("yn").alias("yn"))
-    prior = (F.col("yt") + F.col("yn")) * PRIOR + FLOOR
-    at, an = F.col("yt") + prior, F.col("yn") + prior
-    whole = PRIOR * (nt + nn) + FLOOR
-    odds = lambda y, n: F.log(y / F.greatest(n + whole - y, F.lit(FLOOR)))
-    delta = odds(at, nt) - odds(an, nn)
-    error = 1 / at + 1 / an
-    score = F.col("delta") * SPREAD / (error + SPREAD) + BACKGROUND
-    return feats.withColumn("delta", delta).select("feature", "delta", (F.col("delta") / F.sqrt(error)).alias("z"), score.alias("score"))
+    return counts.select(F.explode(F.concat(*parts)).alias("feature"), "yt", "yn").groupBy("feature").agg(F.sum("yt").alias("yt"), F.sum("yn").alias("yn"))
 
 
 class Lexicon:
     """Scores of words: that of the feature with the z furthest from 0, else the background score.
 
-    Features are kept as sorted XXH64 hashes beside their z and score (24 bytes each), as every one counts.
+    Features are kept as sorted XXH64 hashes beside their counts (16 bytes each), as every one counts. Counts
+    instead of scores let a labelled text be scored as if it had not been learnt from.
     """
 
-    def __init__(self, hashes: np.ndarray, z: np.ndarray, scores: np.ndarray):
+    def __init__(self, hashes: np.ndarray, yt: np.ndarray, yn: np.ndarray, share: float = 0.5, prior: np.ndarray | None = None):
         order = np.argsort(hashes)
-        self.rows = hashes[order], z[order], scores[order]
+        self.rows = hashes[order], yt[order].astype(np.int32), yn[order].astype(np.int32), share, prior
         self.seen: dict[str, float] = {}
+        self.places: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.rows
 
     def __setstate__(self, rows):
-        self.rows, self.seen = rows, {}
+        self.rows, self.seen, self.places = rows, {}, {}
 
     def __len__(self) -> int:
         return len(self.rows[0])
 
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Row of the word and of each of its prefixes, -1 where there is none."""
+        out = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
+        hashes = self.rows[0]
+        for j, k in enumerate((0, *PREFIXES)):
+            of = np.array([i for i, w in enumerate(words) if len(w) >= k], np.int64)
+            names = (("=" + words[i] if k == 0 else words[i][:k] + "*").encode() for i in of.tolist())
+            h = np.fromiter((xxhash.xxh64_intdigest(f, 42) for f in names), np.uint64, len(of)).view(np.int64)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            out[of, j] = np.where(hashes[at] == h, at, -1)
+        return out
+
+    def _said(self, at: np.ndarray, less: tuple[np.ndarray | int, np.ndarray | int] = (0, 0)) -> np.ndarray:
+        _, yt, yn, share, prior = self.rows
+        delta, error = shrunk(np.maximum(yt[at] - less[0], 0), np.maximum(yn[at] - less[1], 0), share, prior)
+        z = np.where(at >= 0, np.abs(delta) / error, -1.0)
+        pick = z.argmax(1)[:, None]
+        return np.where(np.take_along_axis(at, pick, 1) >= 0, np.take_along_axis(delta, pick, 1) + BACKGROUND, BACKGROUND)[:, 0]
+
     def learn(self, words: set[str]) -> dict[str, float]:
         """Scores by word of ``words`` at least; those met before are remembered."""
         if len(self.seen) > 200_000:
             self.seen.clear()
         new = [w for w in words if w not in self.seen]
-        if not new or not len(self):
-            self.seen.update(dict.fromkeys(new, BACKGROUND))
-            return self.seen
-        hashes, z, scores = self.rows
-        best, said = np.full(len(new), -1.0), np.full(len(new), BACKGROUND)
-        for k in (0, *PREFIXES):
-            of = [i for i, w in enumerate(new) if len(w) >= k]
-            names = (("=" + new[i] if k == 0 else new[i][:k] + "*").encode() for i in of)
-            h = np.fromiter((xxhash.xxh64_intdigest(f, 42) for f in names), np.uint64, len(of)).view(np.int64)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            rows, at = np.array(of, np.int64)[hashes[at] == h], at[hashes[at] == h]
-            better = np.abs(z[at]) > best[rows]
-            rows, at = rows[better], at[better]
-            best[rows], said[rows] = np.abs(z[at]), scores[at]
-        self.seen.update(zip(new, said.tolist()))
+        if new:
+            self.seen.update(zip(new, self._said(self._places(new)).tolist()) if len(self) else dict.fromkeys(new, BACKGROUND))
         return self.seen
 
+    def without(self, words: set[str], label: int) -> dict[str, float]:
+        """Scores by word of a text with this label, the text's own words taken out of the counts."""
+        if not words or not len(self):
+            return dict.fromkeys(words, BACKGROUND)
+        if len(self.places) > 200_000:
+            self.places.clear()
+        new = [w for w in words if w not in self.places]
+        if new:
+            self.places.update(zip(new, map(tuple, self._places(new).tolist())))
+        names = list(words)
+        at = np.array([self.places[w] for w in names], np.int64)
+        _, inverse, own = np.unique(at, return_inverse=True, return_counts=True)
+        own = own[inverse].reshape(at.shape)
+        return dict(zip(names, self._said(at, (own, 0) if label == 1 else (0, own)).tolist()))
+
 
 def segments(scores: list[tuple[int, float]], background: float = BACKGROUND, before: list[float] | None = None) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, end, score) in linear time.
@@ -140,10 +192,11 @@ def segments(scores: list[tuple[int, float]], background: float = BACKGROUND, be
 
 
 def _scan(columns: list[list], lexicon: Lexicon) -> list[list]:
+    """Number of words and segments of each text; with a second column of labels, as if not learnt from."""
     n_words, found = [], []
-    for text in columns[0]:
+    for i, text in enumerate(columns[0]):
         words = _WORDS.findall(text.lower()) if text else []
-        known = lexicon.learn(set(words))
+        known = lexicon.learn(set(words)) if len(columns) == 1 else lexicon.without(set(words), columns[1][i])
         scores = np.fromiter((known[w] for w in words), float, len(words))
         hits = np.flatnonzero(scores > 0)
         before = (np.cumsum(scores) - scores)[hits]
@@ -182,13 +235,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Per document: id, ``held_out``, ``score`` (chance of the toxic label), ``predicted``, ``passages``
     (first word, end, score of every significant segment), ``best_p`` (p-value of the best one).
 
-    Words are counted in labelled documents that are not held out; the shrunken log-odds of all of them,
-    toxic or not, form the lexicon. Segment maxima of clean training documents follow a Gumbel law with the decay
-    rate of the clean score distribution; its scale is fitted by maximum likelihood. A segment's
-    evidence is its score in units of that law beyond what a document of that length reaches by
-    chance; a document's evidence, summed over its segments, is turned into a probability by a
-    logistic curve fitted to training labels. Null and empty texts have no evidence; without
-    labels of both kinds every document gets the share of toxic labels; an empty table gives no rows.
+    Words are counted in labelled documents that are not held out; the log-odds of all of them, toxic or not,
+    form the lexicon. Their prior is fitted to the same counts (``fit_prior``). Segment maxima of clean
+    training documents follow a Gumbel law with the decay rate of the clean score distribution; its scale is
+    fitted by maximum likelihood. A segment's evidence is its score in units of that law beyond what a document
+    of that length reaches by chance; a document's evidence, summed over its segments, is turned into a
+    probability by a logistic curve. Scale and curve are fitted to training documents that are scored with
+    their own words taken out of the counts (one left out), as they would otherwise look surer than new ones.
+    Null and empty texts have no evidence; without labels of both kinds every document gets the share
+    of toxic labels; an empty table gives no rows; repeated rows are scored alike.
     """
     lean = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     known = cut_lineage(labelled(docs, labels, label_col, train_rows, id_col))
@@ -197,17 +252,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     nt, nn = (int(v or 0) for v in counts.agg(F.sum("yt"), F.sum("yn")).first())
     lexicon, rate = Lexicon(np.empty(0, np.int64), np.empty(0), np.empty(0)), 1.0
     if nt and nn:
-        # bounded by the words of the training rows, 24 bytes for each word or prefix
-        rows = log_odds(counts, (nt, nn)).select(F.xxhash64("feature").alias("h"), "z", "score").toArrow()
-        lexicon = Lexicon(*(rows[c].to_numpy() for c in ("h", "z", "score")))
+        share = nt / (nt + nn)
+        pairs = counts.groupBy("yt", "yn").agg(F.count(F.lit(1)).alias("times")).toArrow()  # distinct counts: far fewer than words
+        prior = fit_prior(*(pairs[c].to_numpy().astype(float) for c in ("yt", "yn", "times")), share)
+        # bounded by the words of the training rows, 16 bytes for each word or prefix
+        rows = feature_counts(counts).select(F.xxhash64("feature").alias("h"), F.col("yt").cast("int"), F.col("yn").cast("int")).toArrow()
+        lexicon = Lexicon(*(rows[c].to_numpy() for c in ("h", "yt", "yn")), share, prior)
     if len(lexicon):
         per_word = map_rows(counts, ["word"], ["yn"], "s double", partial(_word_scores, lexicon=lexicon))
         bins = per_word.groupBy("s").agg(F.sum("yn").alias("n")).collect()  # scores rounded to tenths
         whole = sum(r["n"] for r in bins) + 0.5 * len(bins)
         rate = decay([(r["s"], (r["n"] + 0.5) / whole) for r in bins])
-    found = cut_lineage(map_rows(lean, ["_t"], ["_id"], "n_words bigint, segments array<struct<first:bigint,until:bigint,score:double>>", partial(_scan, lexicon=lexicon)))
+    schema = "n_words bigint, segments array<struct<first:bigint,until:bigint,score:double>>"
+    found = map_rows(lean, ["_t"], ["_id"], schema, partial(_scan, lexicon=lexicon))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    train = found.join(F.broadcast(known), "_id").withColumn("_best", best)
+    train = lean.join(F.broadcast(known), "_id").select("_t", "_y")
+    train = cut_lineage(map_rows(train, ["_t", "_y"], ["_y"], schema, partial(_scan, lexicon=lexicon)).withColumn("_best", best))
     clean = train.filter("_y = 0").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_words") * F.exp(-rate * F.col("_best"))).alias("m")).first()
     scale = clean["n"] / clean["m"] if clean["m"] else 1.0
     chance = F.log(F.greatest(F.col("n_words"), F.lit(1)) * F.lit(scale))

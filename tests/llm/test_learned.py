@@ -1,20 +1,22 @@
 """Toxicity, co-training and HTML extraction: plain versions, held-out accuracy, odd rows."""
 
 import html
+import math
 import random
 import re
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuewright.llm.cotraining import score_quality
+from cuewright.llm.cotraining import META_DIMS, meta_view, score_quality
 from cuewright.llm.html_blocks import blocks_of
 from cuewright.llm.html_extract import HIDDEN, Labeller, _extract, block_vectors, extract_text, made_page, train
 from cuewright.llm.queries import op4_toxicity, op8_cotraining, op10_html_extraction
-from cuewright.llm.toxicity import BACKGROUND, decay, log_odds, score_toxicity, segments
+from cuewright.llm.toxicity import BACKGROUND, STRENGTHS, Lexicon, _lgamma, decay, fit_prior, score_toxicity, segments, shrunk
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,10 +71,29 @@ def test_toxicity_held_out_recall(spark, sf):
     assert held[held.toxic == 0].predicted.mean() <= 0.02
 
 
-def test_toxicity_scores_every_word(spark):
-    counts = spark.createDataFrame([("rare", 2, 0), ("calm", 0, 40), ("both", 9, 91)], "word string, yt long, yn long")
-    got = {r.feature: r.score for r in log_odds(counts, (1000, 10000)).collect()}
-    assert got["=rare"] > 0 and got["=calm"] < got["=both"] < 0 and BACKGROUND not in got.values()
+def test_toxicity_scores_every_word():
+    names, yt, yn = ["=rare", "=calm", "=both"], np.array([2, 0, 9]), np.array([0, 40, 91])
+    hashes = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in names], np.uint64).view(np.int64)
+    prior = fit_prior(yt.astype(float), yn.astype(float), np.ones(3), 1 / 11)
+    lexicon = Lexicon(hashes, yt, yn, 1 / 11, prior)
+    got = dict(lexicon.learn({"rare", "calm", "both"}))
+    assert got["rare"] > 0 and got["calm"] < got["both"] < 0 and BACKGROUND not in got.values()
+    fewer = Lexicon(hashes, yt - [1, 0, 1], yn, 1 / 11, prior).learn({"rare", "calm", "both"})
+    out = lexicon.without({"rare", "both"}, 1)  # a toxic text is scored as if it had not been counted
+    assert all(abs(out[w] - fewer[w]) < 1e-12 for w in out)
+
+
+def test_prior_follows_the_counts():
+    """Counts that all follow the shares need a strong prior, counts that take sides a weak one; the mixture has both."""
+    rng = np.random.default_rng(3)
+    plain = rng.binomial(100, 0.1, 2000)
+    sided = np.where(rng.random(200) < 0.5, 95, 1)
+    yt, n = np.concatenate([plain, sided]).astype(float), 100.0
+    prior = fit_prior(yt, n - yt, np.ones(len(yt)), 0.1)
+    assert abs(prior.sum() - 1) < 1e-9 and 0.05 < prior[STRENGTHS < 16].sum() < 0.15 and prior[STRENGTHS > 256].sum() > 0.8
+    delta, _ = shrunk(np.array([0, 10.0, 95]), np.array([0, 90.0, 5]), 0.1, prior)
+    assert abs(delta[0]) < 0.6 and abs(delta[1]) < 0.05 and delta[2] > 4
+    assert np.allclose(_lgamma(np.array([0.05, 1, 7.5, 4000])), [math.lgamma(x) for x in (0.05, 1, 7.5, 4000)])
 
 
 def test_toxicity_catches_planted_words(spark):
@@ -107,6 +128,14 @@ def test_quality_held_out(spark):
     assert (held[held.quality == 1].kept).mean() > 0.97
 
 
+def test_capitals_count_alike_at_every_length():
+    at = META_DIMS - 9  # the share of capitals
+    for unit, share in (("É", 0.0), ("AÉ", 0.5), ("Ab", 0.5)):
+        for times in (10, 200, 255, 256, 257, 5000):
+            text = unit * times
+            assert abs(meta_view(text, None, None)[at] - share * len(text) / (len(text) + 1)) < 1e-6
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
     assert score_quality(odd_docs, labels).count() == odd_docs.count()
