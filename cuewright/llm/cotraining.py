@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from functools import partial
 
@@ -47,7 +48,7 @@ def meta_view(text: str | None, source: str | None, lang: str | None) -> np.ndar
     out[xxhash.xxh32_intdigest("s" + (source or "")) % _SOURCES] = 1
     out[_SOURCES + xxhash.xxh32_intdigest("l" + (lang or "")) % _LANGS] = 1
     n, words, lines = len(text), text.count(" ") + 1, text.count("\n") + 1
-    upper = sum(map(str.isupper, text)) if n < 512 else sum(text.count(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    upper = sum(map(text.count, string.ascii_uppercase))
     marks = [
         math.log1p(n) / 10, math.log1p(words) / 10, math.log1p(lines) / 10, min(n / words, 40) / 40, min(words / lines, 400) / 400, upper / (n + 1),
         sum(map(text.count, "0123456789")) / (n + 1), sum(map(text.count, ".,;:")) / words, text.count("!") / words, text.count("|") / words,
