@@ -20,8 +20,9 @@ FEATURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines big
 #: The method's own rules: symbols per word, duplicate lines per word, mean length of a word.
 MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 0.1, 0.05, (2.0, 20.0)
 #: Hosts: below ``TRUSTED`` a host's rate excuses a document's own soft failures, at ``REJECTED`` the
-#: host goes as a whole.
-TRUSTED, REJECTED = 0.01, 0.6
+#: host goes as a whole. A host whose rate is ``SURE`` standard errors off that of all hosts has its documents
+#: held to soft limits that are ``FACTOR`` times wider (lower rate) or narrower (higher rate).
+TRUSTED, REJECTED, SURE, FACTOR = 0.01, 0.6, 2.0, 2.0
 #: Verdicts of up to so many hosts are sent to all executors; those of more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -58,10 +59,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def soft_failed() -> Column:
+def soft_failed(width: Column | float = 1.0) -> Column:
+    """Whether a document breaks one of the method's own rules, whose limits are ``width`` times as wide."""
     n = F.greatest("n_words", F.lit(1)).cast("double")
-    mean = F.col("word_chars") / n
-    return (F.col("n_symbols") / n > MAX_SYMBOLS) | (F.col("n_dup_lines") / n > MAX_DUP_LINES) | ~mean.between(*WORD_LENGTH)
+    mean, width = F.col("word_chars") / n, width if isinstance(width, Column) else F.lit(width)
+    return (F.col("n_symbols") / n > width * MAX_SYMBOLS) | (F.col("n_dup_lines") / n > width * MAX_DUP_LINES) | ~mean.between(WORD_LENGTH[0] / width, WORD_LENGTH[1] * width)
 
 
 def host_verdicts(features: DataFrame) -> DataFrame:
@@ -70,7 +72,8 @@ def host_verdicts(features: DataFrame) -> DataFrame:
     The beta prior is fitted to all hosts by moments: its mean is the mean of the hosts' rates, its
     strength follows from their variance beyond what binomial counts explain (no such variance:
     a strong prior, all hosts near the mean). rate = (f + a) / (n + a + b), so a host of few
-    documents stays near the mean. Verdicts: ``trusted``, ``mixed``, ``rejected``.
+    documents stays near the mean. Verdicts: ``trusted``, ``lenient``, ``mixed``, ``strict``, ``rejected``; the second
+    and fourth where the posterior leaves little doubt that the rate is under or over the mean.
     """
     per = features.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(base_failed() | soft_failed(), 1).otherwise(0)).alias("f"))
     p = F.col("f") / F.col("n")
@@ -81,18 +84,21 @@ def host_verdicts(features: DataFrame) -> DataFrame:
     prior = prior.select("_m", strength.alias("_s"))
     per = per.crossJoin(F.broadcast(prior))  # one row
     rate = (F.col("f") + F.col("_m") * F.col("_s")) / (F.col("n") + F.col("_s"))
-    verdict = F.when(F.col("rate") >= REJECTED, F.lit("rejected")).when(F.col("rate") < TRUSTED, F.lit("trusted")).otherwise(F.lit("mixed"))
+    off = (F.col("rate") - F.col("_m")) / F.sqrt(F.greatest(F.col("rate") * (1 - F.col("rate")), F.lit(1e-12)) / (F.col("n") + F.col("_s") + 1))
+    verdict = F.when(F.col("rate") >= REJECTED, F.lit("rejected")).when(F.col("rate") < TRUSTED, F.lit("trusted"))
+    verdict = verdict.when(off > SURE, F.lit("strict")).when(off < -SURE, F.lit("lenient")).otherwise(F.lit("mixed"))
     return per.withColumn("rate", rate).withColumn("verdict", verdict).select("host", "n", "f", "rate", "verdict")
 
 
 def _decided(features: DataFrame, hosts: DataFrame) -> DataFrame:
     """Joins host verdicts back. A document that breaks a base rule goes; one of a rejected host goes;
-    one that breaks a soft rule goes unless its host is trusted."""
+    one that breaks a soft rule, as wide as its host's verdict makes it, goes unless the host is trusted."""
     other = hosts.select(F.col("host").alias("_h"), F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict"))
     if hosts.count() <= BROADCAST_HOSTS:  # ``hosts`` is a written table of one short row per host
         other = F.broadcast(other)
     joined = features.join(other, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
-    ok = (F.col("host_verdict") != "rejected") & (~soft_failed() | (F.col("host_verdict") == "trusted"))
+    width = F.when(F.col("host_verdict") == "strict", 1 / FACTOR).when(F.col("host_verdict") == "lenient", FACTOR).otherwise(1.0)
+    ok = (F.col("host_verdict") != "rejected") & (~soft_failed(width) | (F.col("host_verdict") == "trusted"))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ok)
 
 

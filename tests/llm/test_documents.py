@@ -70,6 +70,26 @@ def test_host_rates_shrink(spark):
     assert abs(got["small"].rate - (1 + m * s) / (1 + s)) < 1e-9
 
 
+def test_hosts_decide_borderline_documents(spark):
+    """The same borderline text stays on a clean host and goes on a dirty one; clean texts stay, bad ones go on both."""
+    def words(i):
+        return [f"word{i}x{j}" for j in range(40)]
+
+    clean = [" ".join(words(i)) for i in range(400)]
+    border = " ".join(words(1000) + ["#"] * 3)  # 0.07 symbols a word
+    bad = " ".join(words(1001) + ["#"] * 30)
+    fair = [("fair", t) for t in clean[:380]] + [("fair", bad)] * 20
+    poor = [("poor", t) for t in clean[:200]] + [("poor", bad)] * 200
+    rows = [*fair, *poor, ("fair", border), ("poor", border), *(("new", t) for t in clean[:2]), ("new", border)]
+    df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in judge_documents(df).collect()}
+    kept = {(h, t): got[i].kept for i, (h, t) in enumerate(rows)}
+    assert {r.host: r.host_verdict for r in got.values()} == {"fair": "lenient", "poor": "strict", "new": "mixed"}
+    assert kept["fair", border] and not kept["poor", border] and kept["new", border]
+    assert not kept["fair", bad] and not kept["poor", bad] and all(v for (_, t), v in kept.items() if t in clean)
+    assert sorted(r.doc_id for r in keep_documents(df).collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     rows = judge_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.base_failed for r in rows if r.n_words == 0)
