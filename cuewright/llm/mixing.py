@@ -78,17 +78,12 @@ def draws(layout: DataFrame, seed: str = "mix", out_shards: int = OUT_SHARDS) ->
     )
 
 
-def shard_counts(layout: DataFrame, seed: str = "mix", out_shards: int = OUT_SHARDS) -> DataFrame:
-    """Blocks that each output shard draws from each source."""
-    return draws(layout, seed, out_shards).groupBy("out_shard", "sid").agg(F.count(F.lit(1)).alias("n_blocks"))
-
-
 def mix(rows: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """The mix of ``rows`` (any columns, ``source``, ``size``; ``_h1``, ``_h2`` tell different rows apart).
 
     First result: the rows with ``sid``, ``_rn`` (their number within the source), ``source_size``,
-    ``target`` and ``taken`` (words the mix takes, repeats counted). Second: ``sid``, ``_rn``,
-    ``epoch``, ``first``, ``until``: the word ranges taken. Rows without words are kept with
+    ``target``, ``taken`` (words the mix takes, repeats counted) and ``shards`` (output shards that draw it, each
+    with the words it takes). Second: ``sid``, ``_rn``, ``epoch``, ``out_shard``, ``first``, ``until``: the word ranges taken. Rows without words are kept with
     nothing taken; a null source is a source; an empty table gives no rows.
     """
     targets = source_targets(rows)
@@ -101,9 +96,13 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: str = "mix") -> tuple[DataFra
     pieces = pieces.select("sid", "_rn", "block", "_off", (F.greatest(start, F.col("block") * b) - F.col("block") * b).alias("_from"), (F.least(end, (F.col("block") + 1) * b) - F.col("block") * b).alias("_to"), (F.col("block") * b).alias("_at"))
     # the planner takes a slot table for as small as the layout it is exploded from, and would broadcast it
     hit = pieces.join(draws(layout, seed).hint("merge"), ["sid", "block"]).withColumn("_to", F.least("_to", "words")).filter("_to > _from")
-    ranges = hit.select("sid", "_rn", "epoch", (F.col("_at") + F.col("_from") - F.col("_off")).alias("first"), (F.col("_at") + F.col("_to") - F.col("_off")).alias("until"))
-    taken = ranges.groupBy("sid", "_rn").agg(F.sum(F.col("until") - F.col("first")).alias("taken"))
+    ranges = hit.select("sid", "_rn", "epoch", "out_shard", (F.col("_at") + F.col("_from") - F.col("_off")).alias("first"), (F.col("_at") + F.col("_to") - F.col("_off")).alias("until"))
+    # one shuffle serves both groupings and the join: a row and its shards (at most as many as there are) stay together
+    words = ranges.select("sid", "_rn", "out_shard", (F.col("until") - F.col("first")).alias("words")).repartition("sid", "_rn")
+    words = words.groupBy("sid", "_rn", "out_shard").agg(F.sum("words").alias("words"))
+    taken = words.groupBy("sid", "_rn").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct(F.col("out_shard").alias("shard"), "words"))).alias("shards"))
     out = keyed.drop("_off", "block_words").join(taken, ["sid", "_rn"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    out = out.withColumn("shards", F.coalesce("shards", F.array().cast("array<struct<shard:int,words:bigint>>")))
     return out, ranges
 
 
@@ -121,9 +120,10 @@ def _lean(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def mix_counts(docs: DataFrame, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: id, ``size`` in words, ``source_size``, ``target`` of its source and ``taken``."""
+    """Per document: id, ``size`` in words, ``source_size``, ``target`` of its source, ``taken``, and ``shards``: the
+    output shards that draw blocks of it, in order, with the words each takes (empty where none does)."""
     out, _ = mix(cut_lineage(_lean(docs, id_col, text_col, source_col)), block, seed)
-    return out.select(F.col("_id").alias(id_col), "size", F.col("source_size").cast("long"), "target", "taken")
+    return out.select(F.col("_id").alias(id_col), "size", F.col("source_size").cast("long"), "target", "taken", "shards")
 
 
 def pieces_of(text: Column) -> Column:
@@ -131,15 +131,16 @@ def pieces_of(text: Column) -> Column:
     return F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
 
 
-def mix_documents(docs: DataFrame, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(docs: DataFrame, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = None) -> DataFrame:
     """The mixed corpus itself, with the columns of ``docs``: a row for each document and epoch that
     takes words of it, its text the words taken, in order (the text as it is where all are taken).
+    With ``shard_col`` there is a row for each output shard as well, with its number in that last column.
 
     The plan is made on rows without texts. Texts move once, by row hash; equal rows are one row
     there, and each of them meets its own draws.
     """
     out, ranges = mix(cut_lineage(_lean(docs, id_col, text_col, source_col)), block, seed)
-    spans = ranges.groupBy("sid", "_rn", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "until"))).alias("_spans"), F.sum(F.col("until") - F.col("first")).alias("_sum"))
+    spans = ranges.groupBy("sid", "_rn", "epoch", *(["out_shard"] if shard_col else [])).agg(F.array_sort(F.collect_list(F.struct("first", "until"))).alias("_spans"), F.sum(F.col("until") - F.col("first")).alias("_sum"))
     spans = spans.join(out.select("sid", "_rn", "_h1", "_h2", "size"), ["sid", "_rn"]).drop("sid", "_rn")
     one, two = row_hashes(docs)
     full = docs.select(F.struct("*").alias("_doc"), one.alias("_h1"), two.alias("_h2")).dropDuplicates(["_h1", "_h2"])
@@ -156,4 +157,4 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: str = "mix", id_col
             cols.append(F.length("_new").cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col("_doc").getField(c).alias(c))
-    return both.select(*cols)
+    return both.select(*cols, *([F.col("out_shard").alias(shard_col)] if shard_col else []))

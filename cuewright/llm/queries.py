@@ -47,7 +47,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_counts(table(spark, sf_dir, "documents"))
+    mixed = mix_counts(table(spark, sf_dir, "documents"))
+    drawn = F.array_join(F.transform("shards", lambda s: F.concat_ws(":", s["shard"].cast("string"), s["words"].cast("string"))), ",")
+    return mixed.withColumn("shards", drawn)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

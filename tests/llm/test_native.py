@@ -149,6 +149,26 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 
+def test_output_shards_are_a_multinomial_draw(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    drawn = {r.doc_id: {s.shard: s.words for s in r.shards} for r in mix_counts(docs).collect()}
+    taken = {r.doc_id: r.taken for r in mix_counts(docs).collect()}
+    assert all(sum(v.values()) == taken[k] and min(v.values(), default=1) > 0 for k, v in drawn.items())
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    blocks, total = Counter(), Counter()
+    for k, v in drawn.items():
+        for shard, words in v.items():
+            blocks[source[k], shard] += words / 64
+            total[source[k]] += words / 64
+    for s, n in total.items():  # squared deviations from equal shares, by their variance: about one each
+        spread = sum((blocks[s, i] - n / 64) ** 2 for i in range(64)) / (n / 64)
+        assert 64 - 6 * (2 * 64) ** 0.5 < spread < 64 + 6 * (2 * 64) ** 0.5
+    got = Counter()
+    for r in mix_documents(docs, shard_col="part").collect():
+        got[r.doc_id, r.part] += len(r.text.split())
+    assert got == {(k, s): n for k, v in drawn.items() for s, n in v.items()}
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     rows = mix_counts(odd_docs).collect()
     assert len(rows) == odd_docs.count()
