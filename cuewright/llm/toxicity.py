@@ -98,20 +98,26 @@ class Lexicon:
     """Scores of words: that of the feature with the z furthest from 0, else the background score.
 
     Features are kept as sorted XXH64 hashes beside their counts (16 bytes each), as every one counts. Counts
-    instead of scores let a labelled text be scored as if it had not been learnt from.
+    instead of scores let a labelled text be scored as if it had not been learnt from. Few pairs of counts differ, so
+    what they say is worked out once for each.
     """
 
     def __init__(self, hashes: np.ndarray, yt: np.ndarray, yn: np.ndarray, share: float = 0.5, prior: np.ndarray | None = None):
         order = np.argsort(hashes)
         self.rows = hashes[order], yt[order].astype(np.int32), yn[order].astype(np.int32), share, prior
+        self._forget()
+
+    def _forget(self) -> None:
         self.seen: dict[str, float] = {}
         self.places: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[float, float]] = {}
 
     def __getstate__(self):
         return self.rows
 
     def __setstate__(self, rows):
-        self.rows, self.seen, self.places = rows, {}, {}
+        self.rows = rows
+        self._forget()
 
     def __len__(self) -> int:
         return len(self.rows[0])
@@ -128,10 +134,22 @@ class Lexicon:
             out[of, j] = np.where(hashes[at] == h, at, -1)
         return out
 
+    def _evidence(self, yt: np.ndarray, yn: np.ndarray) -> np.ndarray:
+        """Log-odds and size of z of pairs of counts (last axis)."""
+        keys, inverse = np.unique((yt.astype(np.int64) << 32) | yn.astype(np.int64), return_inverse=True)
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        new = [k for k in keys.tolist() if k not in self.pairs]
+        if new:
+            both = np.array(new, np.int64)
+            delta, error = shrunk((both >> 32).astype(float), (both & 0xFFFFFFFF).astype(float), *self.rows[3:])
+            self.pairs.update(zip(new, zip(delta.tolist(), (np.abs(delta) / error).tolist())))
+        return np.array([self.pairs[k] for k in keys.tolist()])[inverse.ravel()].reshape(*yt.shape, 2)
+
     def _said(self, at: np.ndarray, less: tuple[np.ndarray | int, np.ndarray | int] = (0, 0)) -> np.ndarray:
-        _, yt, yn, share, prior = self.rows
-        delta, error = shrunk(np.maximum(yt[at] - less[0], 0), np.maximum(yn[at] - less[1], 0), share, prior)
-        z = np.where(at >= 0, np.abs(delta) / error, -1.0)
+        _, yt, yn, *_ = self.rows
+        found = self._evidence(np.maximum(yt[at] - less[0], 0), np.maximum(yn[at] - less[1], 0))
+        delta, z = found[..., 0], np.where(at >= 0, found[..., 1], -1.0)
         pick = z.argmax(1)[:, None]
         return np.where(np.take_along_axis(at, pick, 1) >= 0, np.take_along_axis(delta, pick, 1) + BACKGROUND, BACKGROUND)[:, 0]
 
