@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuewright.functions.time import fmt_seconds
 from cuewright.plans import bindings as B
 from cuewright.plans.bindings import table, with_
 from cuewright.plans.registry import query
+from cuewright.session import ensure_checkpoint_dir
 from cuewright.sources import files, logs, sinks, transcripts
 
 
@@ -264,3 +267,64 @@ def snk6(spark, d):
     hist = B.account_metric(spark, d)
     fresh = hist.filter("month >= '1998-01'").withColumn("value", F.col("value") * 2)
     return sinks.upsert_history(hist, fresh)
+
+
+def _licence_lines(spark, d):
+    """Manifests by part size: those of odd number have their columns moved and one more; some lines are broken."""
+    p = table(spark, d, "part")
+    odd, key = F.col("p_size") % 2 == 1, F.col("p_partkey")
+    title = F.concat(F.lit('"'), F.col("p_name"), F.lit(', ""'), F.col("p_brand"), F.lit('"""'))
+    file = F.concat(F.lit("s"), key, F.lit(".wav"))
+    line = F.when(odd, F.concat_ws(",", title, F.lit(""), file, F.col("p_type"))).otherwise(F.concat_ws(",", file, key.cast("string"), title, F.col("p_type")))
+    line = F.when(key % 17 == 0, F.concat(line, F.lit(",more"))).when(key % 19 == 0, F.concat(F.lit('"'), line)).otherwise(line)
+    head = F.when(odd, "titulo,nota,arquivo,licenca").otherwise("\ufeffarquivo,mixkit_id,titulo,Licenca\r")
+    heads = p.select(F.col("p_size").alias("manifest"), F.lit(0).alias("seq"), head.alias("line")).distinct()
+    return p.select(F.col("p_size").alias("manifest"), (key + 1).cast("int").alias("seq"), line.alias("line")).unionByName(heads)
+
+
+_LICENCE_SQL = """licence as (select p_size as manifest, (p_partkey+1)::int as seq, 's'||p_partkey||'.wav' as file, case when p_size%2=0 then cast(p_partkey as varchar) end as item_id,
+    p_name||', "'||p_brand||'"' as title, p_type as licence, case when p_partkey%17=0 then 'fields' when p_partkey%19=0 then 'quote' end as problem from part)"""
+
+
+@query("src10_read_licences", f"""with {_LICENCE_SQL} select manifest, seq, problem, case when problem is null then file end as file, case when problem is null then item_id end as item_id,
+    case when problem is null then title end as title, case when problem is null then licence end as licence from licence""")
+def src10(spark, d):
+    got = logs.parse_licences(_licence_lines(spark, d))
+    good = [F.when(F.col("problem").isNull(), F.col(c)).alias(c) for c in ("file", "item_id", "title", "licence")]
+    return got.select("manifest", "seq", "problem", *good)
+
+
+@query("src10_unlicensed_uses", f"""with {_LICENCE_SQL} select l_orderkey, l_linenumber, 'S'||l_partkey||'.WAV' as file from lineitem
+    where l_partkey not in (select seq-1 from licence where problem is null)""")
+def src10_unlicensed(spark, d):
+    uses = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("S"), "l_partkey", F.lit(".WAV")).alias("file"))
+    return logs.unlicensed(uses, logs.parse_licences(_licence_lines(spark, d)))
+
+
+@query("snk4_append_batches", """select cast(ts as date) as date, cast(user_id as varchar) as client, event_type as category, props as text, cast(null as varchar) as skill,
+    cast(event_id as varchar) as action, case when event_id%2=0 then 'even' else 'odd' end as batch, true as first_try, false as second_try from events""")
+def snk4(spark, d):
+    rows = table(spark, d, "events").select(
+        F.to_date("ts").alias("date"), F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("category"), F.col("props").alias("text"),
+        F.lit(None).cast("string").alias("skill"), F.col("event_id").cast("string").alias("action"), "event_id",
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    first = sinks.append_batch(rows.filter("event_id % 2 = 0"), path, "even") and sinks.append_batch(rows.filter("event_id % 2 = 1"), path, "odd")
+    again = sinks.append_batch(rows, path, "even")
+    rows.limit(1).write.json(f"{path}/lost.{uuid.uuid4().hex}")  # a try that died before its commit
+    return sinks.read_batches(spark, path).withColumn("first_try", F.lit(first)).withColumn("second_try", F.lit(again))
+
+
+@query("snk7_save_catalog", "select p_partkey as id, p_brand as type, p_name||' v2' as name, 2 as version, true as refused from part")
+def snk7(spark, d):
+    path = f"{ensure_checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    read = sinks.save_catalog(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("name")), path)
+    assets = sinks.read_catalog(spark, path)
+    sinks.save_catalog(assets.withColumn("name", F.concat("name", F.lit(" v2"))), path, parent=read)
+    try:
+        sinks.save_catalog(assets, path, parent=read)
+        refused = False
+    except sinks.StaleCatalogue:
+        refused = True
+    latest = sinks.read_catalog(spark, path).withColumn("version", F.lit(sinks.catalog_version(spark, path)))
+    return latest.withColumn("refused", F.lit(refused))

@@ -24,9 +24,9 @@ HISTORY_SCHEMA = "struct<cliente: string, meses: map<string, struct<rotulo: stri
 REGISTRY_SCHEMA = "map<string, struct<aliases: array<string>, skill: string, note: string>>"
 
 
-def feedback_columns(df: DataFrame) -> DataFrame:
+def feedback_columns(df: DataFrame, *more: str) -> DataFrame:
     names = dict(data="date", cliente="client", categoria="category", texto="text", skill="skill", acao="action")
-    return df.select(*[F.col(old).alias(new) for old, new in names.items()])
+    return df.select(*[F.col(old).alias(new) for old, new in names.items()], *more)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
@@ -77,8 +77,46 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return parse_registry(whole_files(spark, path))
 
 
+# Names that the columns of a licence manifest go by (fixed values).
+LICENCE_COLUMNS = dict(
+    file=("arquivo", "file"), item_id=("mixkit_id", "item_id", "id"), title=("titulo", "title"), source=("fonte", "source"),
+    url=("url_item", "url"), licence=("licenca", "licence", "license"), licence_url=("url_licenca", "licence_url", "license_url"),
+)
+
+
+def parse_licences(df: DataFrame, key: Sequence[str] = ("manifest",)) -> DataFrame:
+    """Licence rows of CSV lines (``key``, ``seq``, ``line``), whose header is the line of seq 0 of each manifest.
+
+    Columns are found by name, wherever they stand, and unknown ones are left out. A bad line is kept with
+    its ``problem``: ``fields`` (not as many as the header has), ``quote`` (a quote that is not closed), ``file``
+    (names no file), ``header`` (its manifest has none). Blank lines are skipped; a field is on one line.
+    """
+    raw = F.regexp_extract_all(F.concat(F.lit(","), F.rtrim(F.regexp_replace("line", "^\ufeff|\r$", ""))), F.lit(',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), F.lit(1))
+    plain = lambda x: F.trim(F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    rows = df.filter(F.trim("line") != "").select(*key, "seq", raw.alias("_raw"))
+    rows = rows.withColumn("_torn", F.exists("_raw", lambda x: x.startswith('"') & ~(x.endswith('"') & (F.length(x) > 1)))).withColumn("_v", F.transform("_raw", plain))
+    heads = rows.filter("seq = 0").select(*key, F.transform("_v", F.lower).alias("_names"))
+    both = rows.filter("seq > 0").join(heads, list(key), "left")
+
+    def named(aliases):
+        at = F.coalesce(*[F.nullif(F.array_position("_names", n), F.lit(0)) for n in aliases])
+        return F.nullif(F.get("_v", (at - 1).cast("int")), F.lit(""))
+
+    got = both.select(*key, "seq", *[named(a).alias(c) for c, a in LICENCE_COLUMNS.items()], "_names", "_v", "_torn")
+    problem = F.when(F.col("_names").isNull(), "header").when(F.col("_torn"), "quote").when(F.size("_v") != F.size("_names"), "fields").when(F.col("file").isNull(), "file")
+    return got.withColumn("problem", problem).drop("_names", "_v", "_torn")
+
+
 def read_licences(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    """Licence manifests (small CSV files, any number), one row per line behind the header."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("manifest"), "value")
+    return parse_licences(files.select("manifest", F.posexplode(F.split("value", "\n")).alias("seq", "line")))
+
+
+def unlicensed(uses: DataFrame, licences: DataFrame) -> DataFrame:
+    """Uses (``file`` and any columns) of files that no good line of a manifest covers; letter case does not count."""
+    good = licences.filter("problem is null").select(F.lower("file").alias("_f")).distinct()
+    return uses.join(good, F.lower("file") == F.col("_f"), "left_anti")
 
 
 def _detected(kind: str):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.time import fmt_seconds
 from cuewright.operators.slices import Layout, position
+from cuewright.sources import commits
+from cuewright.sources.logs import FEEDBACK_SCHEMA, feedback_columns
 
 REPORT_ROWS = 10_000
 
@@ -69,11 +73,42 @@ def write_findings(df: DataFrame, path: str, key: Sequence[str] = ("clip_id",))
     findings_report(df, key).write.mode("overwrite").json(path)
 
 
-def append_feedback(df: DataFrame, path: str) -> None:
-    df.select(
+def _feedback_lines(df: DataFrame) -> DataFrame:
+    return df.select(
         F.col("date").alias("data"), F.col("client").alias("cliente"), F.col("category").alias("categoria"),
         F.col("text").alias("texto"), F.col("skill").alias("skill"), F.col("action").alias("acao"),
-    ).write.mode("append").json(path)
+    )
+
+
+def append_feedback(df: DataFrame, path: str) -> None:
+    _feedback_lines(df).write.mode("append").json(path)
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> bool:
+    """Feedback rows as JSON lines under a batch id (letters, digits, ``-``, ``_``), once: a batch that is committed is
+    skipped (false), so a job that died or was tried again adds nothing twice. Rows count from the moment their commit
+    file names their folder; folders of tries that did not get there are never read."""
+    spark = df.sparkSession
+    if not re.fullmatch(r"[\w-]+", batch):
+        raise ValueError(f"batch id {batch!r}")
+    commit = f"{path}/_commits/{batch}"
+    if commits.held(spark, commit):
+        return False
+    folder = f"{batch}.{uuid.uuid4().hex}"
+    _feedback_lines(df).write.json(f"{path}/{folder}")
+    if commits.held(spark, commit) == "":
+        commits.discard(spark, commit)
+    return commits.claim(spark, commit, folder)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all committed batches, with the batch id; no rows where nothing is committed."""
+    files = {b: commits.held(spark, f"{path}/_commits/{b}") for b in commits.names(spark, f"{path}/_commits") if not b.startswith(".")}
+    folders = [f"{path}/{folder}" for folder in files.values() if folder]
+    if not folders:
+        return feedback_columns(spark.createDataFrame([], FEEDBACK_SCHEMA)).withColumn("batch", F.lit(None).cast("string"))
+    lines = spark.read.schema(FEEDBACK_SCHEMA).json(folders).withColumn("batch", F.regexp_extract("_metadata.file_path", r"/([\w-]+)\.[0-9a-f]{32}/[^/]*$", 1))
+    return feedback_columns(lines, "batch")
 
 
 # Calendar sheet columns in order, and the production columns always present (fixed values).
@@ -113,5 +148,34 @@ def write_history(history: DataFrame, path: str) -> None:
     history.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def save_catalog(assets: DataFrame, path: str) -> None:
-    assets.write.mode("overwrite").partitionBy("type").parquet(path)
+class StaleCatalogue(Exception):
+    """The catalogue was saved by someone else since it was read."""
+
+
+def catalog_version(spark: SparkSession, path: str) -> int:
+    """Number of the latest whole snapshot, 0 before the first."""
+    return max((int(n) for n in commits.names(spark, f"{path}/_versions") if n.isdigit() and commits.held(spark, f"{path}/_versions/{n}")), default=0)
+
+
+def save_catalog(assets: DataFrame, path: str, parent: int | None = None) -> int:
+    """Saves a snapshot and returns its version; earlier ones stay, so a job that fails loses nothing, and ``assets``
+    may be read from ``path`` itself. ``parent`` is the version that the assets were made from (default: the
+    latest); if another save came between, this one is refused with :class:`StaleCatalogue`. A version file without
+    text counts as left by a save that died; one seen in the moment between its creation and its text does too."""
+    spark = assets.sparkSession
+    parent = catalog_version(spark, path) if parent is None else parent
+    folder = uuid.uuid4().hex
+    assets.write.partitionBy("type").parquet(f"{path}/{folder}")
+    torn = [int(n) for n in commits.names(spark, f"{path}/_versions") if n.isdigit() and not commits.held(spark, f"{path}/_versions/{n}")]
+    if catalog_version(spark, path) != parent or not commits.claim(spark, f"{path}/_versions/{max([parent, *torn]) + 1:010d}", folder):
+        raise StaleCatalogue(f"made from version {parent} of {path}, which is no longer the latest")
+    return max([parent, *torn]) + 1
+
+
+def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A snapshot of the catalogue, the latest by default."""
+    version = catalog_version(spark, path) if version is None else version
+    folder = commits.held(spark, f"{path}/_versions/{version:010d}")
+    if not folder:
+        raise ValueError(f"{path} has no version {version}")
+    return spark.read.parquet(f"{path}/{folder}")

@@ -440,3 +440,46 @@ def test_new_assets_take_free_ids(spark):
     new = spark.createDataFrame([(f"h{i}", f"d{i}/a.mp4", ["t"], "") for i in range(1, 5)], "qhash string, path string, tags array<string>, note string")
     got = sorted(r["id"] for r in ca.merge_assets(old, new)[0].collect())
     assert got == ["video-a", "video-a-2", "video-a-3", "video-a-4", "video-a-5"]
+
+
+def test_licence_manifests(spark):
+    lines = [
+        ("a", 0, "\ufeffTitulo,arquivo,nota\r"), ("a", 1, '"x, ""y""",s1.wav,\r'), ("a", 2, "  "), ("a", 3, "x,s2.wav"), ("a", 4, '"x,s3.wav,'), ("a", 5, "x,,n"),
+        ("b", 1, "s1.wav"), ("c", 0, "file"), ("c", 1, "S9.WAV"), ("c", 2, None), (None, 0, "file"),
+    ]
+    got = logs.parse_licences(spark.createDataFrame(lines, "manifest string, seq int, line string"))
+    said = {(r.manifest, r.seq): (r.file, r.title, r.problem) for r in got.collect()}
+    assert said == {
+        ("a", 1): ("s1.wav", 'x, "y"', None), ("a", 3): ("s2.wav", "x", "fields"), ("a", 4): ("s3.wav", '"x', "quote"), ("a", 5): (None, "x", "file"),
+        ("b", 1): (None, None, "header"), ("c", 1): ("S9.WAV", None, None),
+    }
+    uses = spark.createDataFrame([("S1.wav",), ("s2.wav",), ("s9.wav",), (None,)], "file string")
+    assert {r.file for r in logs.unlicensed(uses, got).collect()} == {"s2.wav", None}
+
+
+def test_batches_count_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("c", "k", "t", None, None)], "client string, category string, text string, skill string, action string")
+    rows = rows.select(F.to_date(F.lit("2024-01-02")).alias("date"), "*")
+    assert sinks.read_batches(spark, path).count() == 0
+    assert sinks.append_batch(rows, path, "b-1") and not sinks.append_batch(rows, path, "b-1")
+    (tmp_path / "log" / "_commits" / "b-2").write_text("")  # its writer died: not committed, may be tried again
+    assert sinks.read_batches(spark, path).count() == 1
+    assert sinks.append_batch(rows.limit(0).unionByName(rows), path, "b-2")
+    assert sorted(r.batch for r in sinks.read_batches(spark, path).collect()) == ["b-1", "b-2"]
+    with pytest.raises(ValueError):
+        sinks.append_batch(rows, path, "../b")
+
+
+def test_catalogue_snapshots(spark, tmp_path):
+    path = str(tmp_path / "cat")
+    one = spark.createDataFrame([(1, "sfx"), (2, None)], "id int, type string")
+    assert sinks.catalog_version(spark, path) == 0 and sinks.save_catalog(one, path) == 1
+    assert sinks.save_catalog(sinks.read_catalog(spark, path).filter("id = 1"), path, parent=1) == 2  # reads its own path
+    with pytest.raises(sinks.StaleCatalogue):
+        sinks.save_catalog(one, path, parent=1)
+    (tmp_path / "cat" / "_versions" / f"{3:010d}").write_text("")  # a save that died
+    assert sinks.catalog_version(spark, path) == 2 and sinks.save_catalog(one, path, parent=2) == 4
+    assert sinks.read_catalog(spark, path).count() == 2 and sinks.read_catalog(spark, path, 2).count() == 1
+    with pytest.raises(ValueError):
+        sinks.read_catalog(spark, path, 3)
