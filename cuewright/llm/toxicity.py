@@ -15,6 +15,8 @@ from cuewright.llm.common import cut_lineage, map_rows
 
 #: Labelled documents that are learnt from at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 200_000
+#: Of these, documents that the three numbers of the calibration (scale, intercept, slope) are fitted to at most (about).
+CALIBRATION_ROWS = 20_000
 #: What each token costs besides its log-odds.
 BACKGROUND = -0.3
 #: A prefix stands for the words that begin with it, so that rare inflections count.
@@ -249,7 +251,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """Per document: id, ``held_out``, ``score`` (chance of the toxic label), ``predicted``, ``passages``
     (first word, end, score of every significant segment), ``best_p`` (p-value of the best one).
 
@@ -258,7 +260,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     training documents follow a Gumbel law with the decay rate of the clean score distribution; its scale is
     fitted by maximum likelihood. A segment's evidence is its score in units of that law beyond what a document
     of that length reaches by chance; a document's evidence, summed over its segments, is turned into a
-    probability by a logistic curve. Scale and curve are fitted to training documents that are scored with
+    probability by a logistic curve. Scale and curve are fitted to training documents (about ``calibration_rows``) that are scored with
     their own words taken out of the counts (one left out), as they would otherwise look surer than new ones.
     Null and empty texts have no evidence; without labels of both kinds every document gets the share
     of toxic labels; an empty table gives no rows; repeated rows are scored alike.
@@ -284,13 +286,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     schema = "n_words bigint, segments array<struct<first:bigint,until:bigint,score:double>>"
     found = map_rows(lean, ["_t"], ["_id"], schema, partial(_scan, lexicon=lexicon))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    train = lean.join(F.broadcast(known), "_id").select("_t", "_y")
+    part = min(1.0, calibration_rows / max(1, known.count()))
+    judged = known if part == 1.0 else known.filter(F.pmod(F.xxhash64("_id", F.lit("calibration")), F.lit(1_000_000)) < int(part * 1_000_000))
+    train = lean.join(F.broadcast(judged), "_id").select("_t", "_y")
     train = cut_lineage(map_rows(train, ["_t", "_y"], ["_y"], schema, partial(_scan, lexicon=lexicon)).withColumn("_best", best))
     clean = train.filter("_y = 0").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_words") * F.exp(-rate * F.col("_best"))).alias("m")).first()
     scale = clean["n"] / clean["m"] if clean["m"] else 1.0
     chance = F.log(F.greatest(F.col("n_words"), F.lit(1)) * F.lit(scale))
     evidence = F.aggregate("segments", F.lit(0.0), lambda acc, s: acc + F.greatest(s["score"] * rate - chance, F.lit(0.0)))
-    # (evidence, label) pairs: at most about ``train_rows`` of them
+    # (evidence, label) pairs: at most about ``calibration_rows`` of them
     pairs = np.array([tuple(r) for r in train.select(F.log1p(evidence), F.col("_y").cast("double")).toLocalIterator()]).reshape(-1, 2)
     share = float(pairs[:, 1].mean()) if len(pairs) else 0.0
     if len(lexicon) and 0 < share < 1:
