@@ -107,7 +107,6 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(word: str) -> str:
-    word = word[:80]
     s = "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in word)
     return _RUN.sub(lambda m: m[1] + (str(min(len(m[0]), 9)) if m[1] == "9" else "+"), s)
 
@@ -122,12 +121,13 @@ def features(text: str, start: int, stop: int) -> list[int]:
     word = text[start:stop]
     core = word.strip(_EDGE)
     left, right = _around(text, start, stop)
-    digits = sum(c.isdigit() for c in word[:400])
+    digits = sum(map(str.isdigit, word))
+    here, before, after = _shape(core), _shape(left.strip(_EDGE)), _shape(right.strip(_EDGE))
     names = (
-        "1", "s" + _shape(core), "d" + str(min(digits, 20)), "@" + str(word.count("@")), "." + str(min(core.count("."), 5)),
+        "1", "s" + here, "d" + str(min(digits, 20)), "@" + str(word.count("@")), "." + str(min(core.count("."), 5)),
         "e" + core[:1] + core[-1:] if not core[:1].isalnum() else "e", "k" + ("n" if digits == len(core) else "m"),
-        "l" + _shape(left.strip(_EDGE)), "r" + _shape(right.strip(_EDGE)), "w" + left.lower()[-8:], "v" + right.lower()[:8],
-        "p" + _shape(left.strip(_EDGE)) + "/" + _shape(core), "q" + _shape(core) + "/" + _shape(right.strip(_EDGE)),
+        "l" + before, "r" + after, "w" + left.lower()[-8:], "v" + right.lower()[:8],
+        "p" + before + "/" + here, "q" + here + "/" + after,
     )
     return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) % DIMS for x in names]
 

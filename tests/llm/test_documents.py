@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from cuewright.llm.decontamination import Index, drop_leaks, find_leaks
 from cuewright.llm.golay import Keys, designs
-from cuewright.llm.pii import _scan, base_spans, find_personal_data, fit_field, joined, luhn
+from cuewright.llm.pii import _scan, base_spans, features, find_personal_data, fit_field, joined, luhn
 from cuewright.llm.quality_rules import host_verdicts, judge_documents, keep_documents, text_counts
 from cuewright.llm.queries import op2_pii, op3_simhash_golay, op5_quality_rules
 from cuewright.llm.simhash_dedup import components, drop_near_duplicates, near_duplicates
@@ -261,6 +261,13 @@ def test_field_finds_repeats_that_the_patterns_miss():
     assert out[5][0] == "phone:5:22,phone:33:47" and out[6] == [1, 0, 0, 0]
 
 
+def test_features_read_whole_tokens():
+    """Tokens that differ only far behind, or in the number of digits there, have different features."""
+    long = "ab-" * 200
+    one, two = (features(long + end, 0, len(long) + 3) for end in ("cde", "c-9"))
+    assert one[1] != two[1] and one[2] != two[2]
+
+
 def test_field_with_many_repeats_is_linear():
     field = fit_field(["call +1 (578) 555-6437 today"])
     begin = time.time()
