@@ -1,7 +1,8 @@
 """Interval algebra: overlap joins, as-of lookups, merging, complement and time maps.
 
-Intervals carry ``media_id``, ``s`` and ``e`` in seconds. Overlap joins run on time bins, so one
-long recording spreads over as many tasks as it has bins; ordered operators run on slices.
+Intervals carry ``media_id``, ``s`` and ``e`` in seconds. Overlap joins meet in the cells of a time
+tree, so one long recording spreads over as many tasks as it has cells and a long interval is not
+copied into every short cell; ordered operators run on slices.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from cuewright.operators.slices import (
 )
 
 BIN_SECONDS = 10.0
+#: The time tree: cells of a level are four (2 ** ``FAN_BITS``) times as long as those below; levels 0 to ``TOP``.
+FAN_BITS, TOP = 2, 8
+#: Times beyond this many seconds share the cell of this one (endless intervals).
+FAR = 1e12
 TIMED = timed()
 
 
@@ -39,29 +44,71 @@ def prefixed(df: DataFrame, keep: Sequence[str], prefix: str = "b_") -> DataFram
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def _near(at: Column) -> Column:
+    return F.greatest(F.least(at, F.lit(FAR)), F.lit(-FAR))
+
+
+def _level(start: Column, end: Column, width: float) -> Column:
+    """The lowest level of the time tree whose cells are as long as the interval, which then
+    touches two of them at most; null where a time is null."""
+    cells = (_near(end) - _near(start)) / F.lit(width)
+    up = F.least(F.ceil(F.log2(cells) / FAN_BITS), F.lit(TOP)).cast("int")
+    return F.when(start.isNotNull() & end.isNotNull(), F.when(cells <= 1, F.lit(0)).otherwise(up))
+
+
+def _cell(at: Column, level: Column, width: float) -> Column:
+    times = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * FAN_BITS)
+    return F.floor(_near(at) / (F.lit(width) * times))
+
+
+def _hung(df: DataFrame, start: str, end: str, levels: Column, own: str, width: float) -> DataFrame:
+    """One copy of each row per cell it touches on the levels that ``levels`` lists for its own."""
+    at = F.col("_level")
+    low = _cell(F.col(start), at, width)
+    return (
+        df.withColumn(own, _level(F.col(start), F.col(end), width))
+        .withColumn("_level", F.explode(F.element_at(levels, F.col(own) + 1)))
+        .withColumn("_cell", F.explode(F.sequence(low, F.greatest(low, _cell(F.col(end), at, width)))))
+    )
+
+
 def interval_join(
     a: DataFrame,
     b: DataFrame,
     key: Sequence[str] = ("media_id",),
     min_overlap: float = 0.0,
     bin_s: float = BIN_SECONDS,
+    lean: str = "b",
 ) -> DataFrame:
     """Pairs that overlap, with the overlap length. Columns of ``b`` come back as ``b_<name>``.
 
-    Both sides are cut into time bins; a pair is reported only by the bin that holds the later
-    start, so nothing is emitted twice and no shuffle on the bare media key is needed.
+    Both sides hang in a time tree whose lowest cells are ``bin_s`` long. A pair meets on the level
+    of the longer of the two, in the cell that holds the later start, so nothing is emitted twice
+    and no shuffle on the bare media key is needed. The side named by ``lean`` (the one with fewer
+    rows) is hung on every level from its own to the top, at most 2 * (TOP + 1) copies of a row; the
+    other one on its own level and on those that the lean side uses, which are one row of at most
+    TOP + 1 numbers. Rows with a null time meet nothing; an infinite end is the end of time.
     """
-    left = _bins(a, "s", "e", bin_s)
-    right = _bins(prefixed(b, key), "b_s", "b_e", bin_s)
+    right = prefixed(b, key)
+    few, few_s, few_e = (right, "b_s", "b_e") if lean == "b" else (a, "s", "e")
+    many, many_s, many_e = (a, "s", "e") if lean == "b" else (right, "b_s", "b_e")
+    upward = F.array(*[F.sequence(F.lit(i), F.lit(TOP)) for i in range(TOP + 1)])
+    hung_few = _hung(few, few_s, few_e, upward, "_few_own", bin_s)
+    used = few.agg(F.collect_set(_level(F.col(few_s), F.col(few_e), bin_s)).alias("_u"))
+    by_own = [F.expr(f"array_union(array({i}), filter(_u, x -> x > {i}))") for i in range(TOP + 1)]
+    listed = F.broadcast(used.select(F.array(*by_own).alias("_used")))
+    hung_many = _hung(many.crossJoin(listed), many_s, many_e, F.col("_used"), "_own", bin_s).drop("_used")
+    left, other = (hung_many, hung_few) if lean == "b" else (hung_few, hung_many)
     later = F.greatest("s", "b_s")
     overlap = F.least("e", "b_e") - later
     return (
-        left.join(right, [*key, "_bin"])
+        left.join(other, [*key, "_level", "_cell"])
         .filter((F.col("s") < F.col("b_e")) & (F.col("e") > F.col("b_s")))
-        .filter(F.col("_bin") == _bin(later, bin_s))
+        .filter(F.col("_level") == F.greatest("_own", "_few_own"))
+        .filter(F.col("_cell") == _cell(later, F.col("_level"), bin_s))
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") > min_overlap)
-        .drop("_bin")
+        .drop("_level", "_cell", "_own", "_few_own")
     )
 
 
@@ -94,7 +141,7 @@ def text_in(
     ids = list(dict.fromkeys([*key, *row]))
     inner = intervals.select(*ids, (F.col("s") + margin).alias("s"), (F.col("e") - margin).alias("e"))
     said = (
-        interval_join(inner, words.select(*key, "seq", "s", "e", "word"), key)
+        interval_join(inner, words.select(*key, "seq", "s", "e", "word"), key, lean="a")
         .groupBy(*ids)
         .agg(F.sort_array(F.collect_list(F.struct("b_seq", "b_word"))).alias("_said"))
         .select(*ids, F.array_join(F.transform("_said", lambda w: w["b_word"]), " ").alias("text"))

@@ -483,3 +483,36 @@ def test_catalogue_snapshots(spark, tmp_path):
     assert sinks.read_catalog(spark, path).count() == 2 and sinks.read_catalog(spark, path, 2).count() == 1
     with pytest.raises(ValueError):
         sinks.read_catalog(spark, path, 3)
+
+
+@pytest.mark.parametrize("lean", ["a", "b"])
+def test_interval_join_of_all_lengths(spark, lean):
+    """Pairs of intervals from milliseconds to years, some endless, backward or null, against all pairs."""
+    rng = random.Random(11)
+
+    def side(n):
+        out = [("m", i, None, 5.0) for i in range(2)] + [("m", 2, 5.0, None), ("m", 3, 40.0, 30.0), ("m", 4, 100.0, math.inf), ("m", 5, 7.0, 7.0)]
+        for i in range(6, n):
+            s = round(rng.choice([rng.uniform(-500, 500), rng.uniform(0, 1e6), 10.0 * rng.randint(0, 90)]), 3)
+            out.append((rng.choice(["m", "m", "other"]), i, s, round(s + rng.choice([0.4, 10.0, 40.0, 640.0]) * 4 ** rng.uniform(-2, 8), 3)))
+        return out
+
+    a, b = side(150), side(120)
+    cols = "media_id string, i bigint, s double, e double"
+    got = iv.interval_join(spark.createDataFrame(a, cols), spark.createDataFrame(b, cols), lean=lean)
+    pairs = sorted((r["i"], r["b_i"], r["overlap"]) for r in got.collect())
+    known = lambda x: x[2] is not None and x[3] is not None
+    want = sorted(
+        (x[1], y[1], min(x[3], y[3]) - max(x[2], y[2]))
+        for x in a for y in b
+        if x[0] == y[0] and known(x) and known(y) and x[2] < y[3] and x[3] > y[2] and min(x[3], y[3]) > max(x[2], y[2])
+    )
+    assert pairs == want and len(want) > 1000
+
+
+def test_long_intervals_hang_in_few_cells(spark):
+    """Three hours, in an even spread of starts: at most two cells a level."""
+    df = spark.range(200).select((F.col("id") * 37.3).alias("s"), (F.col("id") * 37.3 + 10_800).alias("e"))
+    every = F.array(*[F.sequence(F.lit(i), F.lit(iv.TOP)) for i in range(iv.TOP + 1)])
+    copies = iv._hung(df, "s", "e", every, "_own", 10.0).groupBy("s", "_level").count().agg(F.max("count")).first()[0]
+    assert copies <= 2
