@@ -1,19 +1,21 @@
 """Quality rules, near-duplicates, leaks and personal data against plain versions."""
 
 import hashlib
+import itertools
 import re
 import time
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cuewright.llm.decontamination import Index, drop_leaks, find_leaks
 from cuewright.llm.golay import Keys, designs
-from cuewright.llm.pii import _scan, base_spans, features, find_personal_data, fit_field, joined, luhn
+from cuewright.llm.pii import KINDS, Field, Graph, _scan, base_spans, features, find_personal_data, fit_field, joined, luhn
 from cuewright.llm.quality_rules import host_verdicts, judge_documents, keep_documents, text_counts
 from cuewright.llm.queries import op2_pii, op3_simhash_golay, op5_quality_rules
 from cuewright.llm.simhash_dedup import components, drop_near_duplicates, near_duplicates
@@ -275,6 +277,56 @@ def test_field_with_many_repeats_is_linear():
     assert time.time() - begin < 30
 
 
+def exact_marginals(field, graph):
+    """Sum over all labellings of tokens and hubs."""
+    n, k = len(graph.spans) + len(graph.hub_doc), len(KINDS) + 1
+    unary = np.zeros((n, k))
+    unary[: len(graph.spans)] = field.node[graph.feats].sum(1)
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        score = sum(unary[i, y] for i, y in enumerate(labels))
+        score += sum(field.chain[labels[a], labels[b]] for a, b in graph.chain) + sum(field.skip[labels[a], labels[b]] for a, b in graph.skip)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(score)
+    return (total / total.sum(1, keepdims=True))[: len(graph.spans)]
+
+
+@pytest.mark.parametrize("text", ["a1 b2 c3 d4", "x1 word x1 word y2", "q7 and q7 and q7 and z9", "one 5", "a@b word a@c"])
+def test_messages_are_exact_on_trees(text):
+    """Chains and single hubs have no loop, so messages give the probabilities of full enumeration."""
+    rng = np.random.default_rng(3)
+    graph = Graph([text])
+    field = Field(rng.normal(size=(4096, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)) + 2 * np.eye(5))
+    assert np.allclose(field.marginals(graph), exact_marginals(field, graph), atol=2e-3)
+
+
+def test_certain_evidence_reaches_all_repeats():
+    """One clear occurrence first, then 300 that say nothing by themselves: all carry its label."""
+    graph = Graph(["5551234 " + "word 5551234 " * 300])
+    field = Field(np.zeros((4096, 5)), np.zeros((5, 5)), 3 * np.eye(5))
+    graph.feats[0], graph.feats[1:] = 1, 2
+    field.node[1, 4] = 4.0
+    best = field.marginals(graph)
+    assert (best.argmax(1) == 4).all() and len(graph.skip) == 301
+
+
+def test_documents_do_not_depend_on_their_batch(small):
+    texts = [t for t in small.text if t and any(c.isdigit() for c in t)][:60]
+    field = fit_field(texts)
+    texts += ["call (578) 555-6437 x " * 40, "12 34 56 " * 50, "4111 1111 1111 1112"]
+    together = list(zip(*_scan([texts], field)))
+    assert together == [tuple(c[0] for c in _scan([[t]], field)) for t in texts]
+
+
+def test_disguised_copies_are_found(small):
+    """Recall of added spans on repeats of known values in forms that the patterns miss; no clean token is marked."""
+    texts = [f"some text {i} with +1 ({i}23) 555-01{i:02d} and mail{i}@host{i}.example.com, 10.0.{i}.7 or 4111111111111111 in it" for i in range(10, 90)]
+    field = fit_field(texts)
+    probes = [f"call +1 ({i}78) 555-64{i:02d} today, or ({i}78) 555-64{i:02d} at night, on page {i} of 300" for i in range(10, 90)]
+    added = _scan([probes], field)[6]
+    assert sum(n == 1 for n in added) >= 0.9 * len(probes) and max(added) == 1
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     rows = find_personal_data(odd_docs).collect()
     assert len(rows) == odd_docs.count() and find_personal_data(no_docs).count() == 0
