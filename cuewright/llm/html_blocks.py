@@ -46,7 +46,7 @@ class Block:
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    return tuple(w.lower() for _, v in _ATTR.findall(attributes) for w in _NAME.findall(v)[:12])
+    return tuple(w.lower() for _, v in _ATTR.findall(attributes) for w in _NAME.findall(v))
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -60,7 +60,7 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, ...]] = []
     pieces: list[str] = []
-    linked = 0
+    linked = anchors = 0
 
     def flush() -> None:
         nonlocal linked
@@ -75,13 +75,18 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         pieces.append(text)
-        if any(e[0] == "a" for e in stack[-4:]):
+        if anchors:
             linked += len(text.strip())
 
+    def cut(i: int) -> None:
+        nonlocal anchors
+        anchors -= sum(e[0] == "a" for e in stack[i:])
+        del stack[i:]
+
     def end(names: frozenset, stops: frozenset) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in stops:
                 return
@@ -105,7 +110,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if inline and stack[i][0] not in _INLINE:
                     break
@@ -114,8 +119,16 @@ def blocks_of(page: str | None) -> list[Block]:
                 end(frozenset(("p",)), _STOPS_P)
             if tag in _ENDS:
                 end(*_ENDS[tag])
+            if tag == "a":
+                for i in range(len(stack) - 1, -1, -1):  # links do not nest: a new one ends the open one
+                    if stack[i][0] == "a":
+                        cut(i)
+                        break
+                    if stack[i][0] not in _INLINE:
+                        break
             if tag not in _VOID and not m[4].endswith("/"):
                 stack.append((tag, *_names(m[4])))
+                anchors += tag == "a"
     if at < len(page):
         add(page[at:])
     flush()

@@ -223,6 +223,16 @@ def test_formulas_stay_in_their_line():
     assert [b.text for b in got] == ["so x>0 holds here"]
 
 
+def test_blocks_see_all_names_and_links():
+    """A telling class behind any number of others, links at any depth, links that end where the next begins."""
+    many = " ".join(f"u{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    assert "sidebar" in blocks_of(f'<div class="{many} sidebar">text</div>')[0].path[0]
+    deep = blocks_of("<a href='x'><b><i><u><em><strong>all of it</strong></em></u></i></b></a>")
+    assert [b.links for b in deep] == [1.0]
+    after = blocks_of("<p><a href='x'>one<a href='y'>two</a> rest</p><p>plain</p>")
+    assert [b.links for b in after] == [6 / len("onetwo rest"), 0.0]
+
+
 def test_html_keeps_articles_with_odd_elements(model):
     say = "The river runs past the old harbour and the people of the town walk along it in the evening, {}."
     odd = ['<svg class="i"/>', "<svg-icon></svg-icon>", "<math-field></math-field>", "<title-bar></title-bar>", "<object-card></object-card>", "<math><mi>x</mi></math>"]
